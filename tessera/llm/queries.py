@@ -7,8 +7,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .language import fit, held_out, identify
+from .mixing import mix
 from .substring import remove_repeats
 from .tokencount import token_counts
 
@@ -23,12 +26,26 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), text=False).drop("kept")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs.select("doc_id", "text", F.array("source").alias("sources"))).drop("sources")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    net = fit(docs.where(~out))
+    return identify(docs, net, ["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .htmltree import main_text
 from .language import fit, held_out, identify
 from .mixing import mix
 from .substring import remove_repeats
@@ -26,6 +27,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), text=False).drop("kept")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix(docs.select("doc_id", "text", F.array("source").alias("sources"))).drop("sources")
@@ -43,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op9_language_id": op9_language_id,

@@ -13,6 +13,7 @@ from .common import table
 from .htmltree import main_text
 from .language import fit, held_out, identify
 from .mixing import mix
+from .multiindex import search
 from .substring import remove_repeats
 from .tokencount import token_counts
 
@@ -36,6 +37,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs.select("doc_id", "text", F.array("source").alias("sources"))).drop("sources")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }

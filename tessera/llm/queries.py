@@ -14,6 +14,7 @@ from .htmltree import main_text
 from .language import fit, held_out, identify
 from .mixing import mix
 from .multiindex import search
+from .pii import digest, find
 from .substring import remove_repeats
 from .tokencount import token_counts
 
@@ -32,6 +33,13 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("pii_base", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(digest(F.col("pii_base")), 256).alias("base_sha256"), digest(F.col("pii")).alias("spans"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix(docs.select("doc_id", "text", F.array("source").alias("sources"))).drop("sources")
@@ -54,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_pii": op2_pii,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,

@@ -1,8 +1,68 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: language ID, near duplicates, decontamination, personal data, mixing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, as the next stage reads them; the last one
+gives the mixture.  run() writes each stage's documents to the session's shared folder.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import table, written
+from tessera.llm.decontaminate import without_leaks
+from tessera.llm.jaccard import one_of_each
+from tessera.llm.language import UNKNOWN, fit, identify
+from tessera.llm.mixing import mix
+from tessera.llm.pii import find, redacted
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; lang is the predicted one.  Texts without a letter go."""
+    columns = docs.columns
+    kept = identify(docs, fit(docs), columns).where(F.col("lang_pred") != UNKNOWN)
+    return kept.withColumn("lang", F.col("lang_pred")).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: that of the least doc_id."""
+    return one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each span of personal data replaced by its kind; n_chars follows the text."""
+    columns = docs.columns
+    text = redacted(F.col("text"), F.col("pii"))
+    return find(docs).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document: doc_id, source, size, source_size, target, taken."""
+    mixed = mix(docs.select("doc_id", "text", F.array("source").alias("sources")))
+    return mixed.select("doc_id", F.element_at("sources", 1).alias("source"), "size", "source_size", "target", "taken")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+]
+
+#: Language ID and the seeded selection can't be said in SQL.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,14 +1,19 @@
 """Removal of long repeated spans: a de Bruijn graph of word k-mers whose edges carry their source coordinates.
 
 Edges are the windows of `window` consecutive words.  Writing all of them out would move many times the corpus, so the
-graph is first thinned to the smallest-hash `anchor`-word k-mer of each window (a minimizer: equal windows choose equal
-anchors at equal offsets).  An anchor seen once in the corpus belongs to unbranched, unrepeated paths only, and all
-windows on it compact away unseen.  Windows on repeated anchors meet in a Spark join on the window's hash, where the
-least coordinate (doc_id, start) of each is its source; consecutive repeats compact to spans, and each document is
-rewritten once.
+graph is compacted before its edges meet.  Each window hangs on its smallest-hash `anchor`-word k-mer (a minimizer:
+equal windows choose equal anchors at equal offsets), and consecutive windows on one anchor are a path.
 
-The set of repeated anchors reaches the tasks as a bit map of at most 32 MB.  A false hit, or a map that is full, costs
-work alone: a window is a repeat only by its own hash.  Two different windows are taken as equal with probability 2^-64.
+1. Anchors seen once in the corpus: nothing on them repeats; their paths go no further.
+2. Repeated anchors on which all paths in the corpus are equal do not branch: the path is one compacted edge.
+3. Repeated anchors with unequal paths branch: each of their windows is an edge of its own.
+
+Compacted edges then meet in Spark: the least coordinate (doc_id, start) of each is its source, a join gives it to all
+other places, and each document is rewritten once without the words of those windows.
+
+The sets of repeated and of branching anchors reach the tasks as bit maps of at most 32 MB.  A false hit, or a map that
+is full, costs work alone: edges are equal only by their own hashes.  Two different edges are taken as equal with
+probability 2^-64.
 
 Defined results.  Null text: no words.  Rows with equal doc_id count as the same place: equal rows keep what each would
 keep alone, and unequal texts are compared by start.  A null doc_id comes after all others.  Extra columns are ignored.
@@ -24,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Block, blocks, sequence_hashes, word_hashes
+from .bytewords import Block, blocks, mix64, sequence_hashes, word_hashes
 from .common import written
 
 MAX_BITS = 1 << 28
+SHIFT = 128  # a path has fewer windows than this
+PAGE = 1 << 16  # cells of 64 bits: half a megabyte
 
 
 def anchored_windows(b: Block, h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,27 +67,75 @@ def anchor_counts(window: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def window_rows(window: int, anchor: int, bits: int, known: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def in_map(bitmap: tuple[int, bytes], anchors: np.ndarray) -> np.ndarray:
+    bits, data = bitmap
+    bit = (anchors & np.uint64(bits - 1)).astype(np.int64)
+    return (np.frombuffer(data, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def paths(b: Block, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Paths of a block: first window, number of windows, anchor, hash of the path's words; and the hashes of all windows."""
+    h = word_hashes(b)
+    starts, at, best = anchored_windows(b, h, window, anchor)
+    edges = sequence_hashes(h, window)
+    if not len(starts):
+        return starts, starts, best, best, edges
+    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    n = np.diff(np.append(head, len(starts)))
+    first = starts[head]
+    # the first and the last window cover all words of a path
+    path = mix64(edges[first] * np.uint64(0x9FB21C651E98DF25) + mix64(edges[first + n - 1] + n.astype(np.uint64)))
+    return first, n, best[head], path, edges
+
+
+def path_rows(window: int, anchor: int, known: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Repeated anchors with the least and the greatest path on them, for each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(known.value, np.uint8)
         for batch in batches:
-            doc_id, key = batch.column(1), batch.column(2)
+            keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for b in blocks(batch.column(0)):
-                h = word_hashes(b)
-                starts, _, best = anchored_windows(b, h, window, anchor)
-                bit = (best & np.uint64(bits - 1)).astype(np.int64)
-                starts = starts[(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-                if len(starts):
-                    edge = sequence_hashes(h, window)[starts].view(np.int64)
-                    doc = b.doc[starts]
+                _, _, best, path, _ = paths(b, window, anchor)
+                hit = in_map(known.value, best)
+                keys.append(best[hit])
+                values.append(path[hit])
+            key, of = np.unique(np.concatenate(keys), return_inverse=True)
+            value = np.concatenate(values).view(np.int64)
+            low, high = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
+            np.minimum.at(low, of, value)
+            np.maximum.at(high, of, value)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(low), pa.array(high)], ["anchor", "low", "high"])
+
+    return run
+
+
+def edge_rows(window: int, anchor: int, known: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges (n windows from `start` on) of each text: compacted paths, or single windows on branching anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, branching = known.value
+        for batch in batches:
+            doc_id, tag = batch.column(1), batch.column(2)
+            for b in blocks(batch.column(0)):
+                first, n, best, path, edges = paths(b, window, anchor)
+                hit = in_map(repeated, best)
+                single = in_map(branching, best[hit])
+                first, n, path = first[hit], n[hit], path[hit]
+                some, count = first[single], n[single]
+                windows = np.repeat(some, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = np.concatenate([first[~single], windows])
+                edge = np.concatenate([path[~single], edges[windows]]).view(np.int64)
+                n = np.concatenate([n[~single], np.ones(len(windows), np.int64)]).astype(np.int8)
+                if len(start):
+                    doc = b.doc[start]
                     row = pa.array(doc + b.first)
-                    yield pa.record_batch([pa.array(edge), doc_id.take(row), key.take(row), pa.array((starts - b.word0[doc]).astype(np.int32))], ["edge", "doc_id", "rid", "start"])
+                    yield pa.record_batch([pa.array(edge), doc_id.take(row), tag.take(row), pa.array((start - b.word0[doc]).astype(np.int32)), pa.array(n)], ["edge", "doc_id", "tag", "start", "n"])
 
     return run
 
 
 def rewrite(window: int, text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Columns text, doc_id, starts (null: none) to the document without the words of those windows."""
+    """Columns text, doc_id, starts (start * SHIFT + number of windows; null: none) to the document without those words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +144,10 @@ def rewrite(window: int, text: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 starts = batch.column(2).slice(b.first, len(b.n_words))
                 edge = np.zeros(len(b.start) + 1, np.int64)
                 lens = np.diff(starts.offsets.to_numpy()) * starts.is_valid().to_numpy(zero_copy_only=False) if len(starts) else np.zeros(0, np.int64)
-                at = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(b.word0, lens)
+                at, n_windows = np.divmod(starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64), SHIFT)
+                at += np.repeat(b.word0, lens)
                 np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
+                np.add.at(edge, at + n_windows - 1 + window, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 data = b.data.tobytes()
                 for i, (first, count) in enumerate(zip(b.word0.tolist(), b.n_words.tolist(), strict=True)):
@@ -114,30 +170,41 @@ def bitmap_of(anchors: DataFrame) -> tuple[int, bytes]:
         bits <<= 1
     bit = F.col("anchor").bitwiseAND(F.lit(bits - 1))
     cells = anchors.select((bit / 64).cast("long").alias("cell"), F.expr(f"shiftleft(1L, cast((anchor & {bits - 1}) % 64 as int))").alias("one"))
-    got = cells.groupBy("cell").agg(F.bit_or("one").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[got["cell"].to_numpy()] = got["bits"].to_numpy()
-    return bits, out.tobytes()
+    whole = cells.groupBy("cell").agg(F.bit_or("one").alias("bits")).withColumn("page", (F.col("cell") / PAGE).cast("long"))
+    out = bytearray(bits // 8)
+    for r in whole.groupBy("page").applyInArrow(page_bytes, "page long, bytes binary").toLocalIterator():
+        out[r["page"] * PAGE * 8 : (r["page"] + 1) * PAGE * 8] = r["bytes"][: len(out)]
+    return bits, bytes(out)
+
+
+def page_bytes(cells: pa.Table) -> pa.Table:
+    """The cells of a page (PAGE of them at most) as its bytes."""
+    out = np.zeros(PAGE, np.int64)
+    out[cells["cell"].to_numpy() % PAGE] = cells["bits"].to_numpy()
+    return pa.table({"page": cells["page"][:1], "bytes": pa.array([out.tobytes()], pa.binary())})
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = 10) -> DataFrame:
-    """One row (rid, start) for each window whose words also start at a smaller (doc_id, start); rid: hash of the row's doc_id and text."""
-    keyed = docs.select("text", "doc_id", F.xxhash64("doc_id", "text").alias("rid"))
+def repeated_edges(docs: DataFrame, window: int = 20, anchor: int = 10) -> DataFrame:
+    """Rows (doc_id, tag, start, n): n windows from `start` on whose words also start at a smaller (doc_id, start); tag: a
+    hash of the text, which tells rows of one doc_id apart."""
+    context = docs.sparkSession.sparkContext
+    keyed = docs.select("text", "doc_id", F.hash("text").alias("tag"))
     counts = keyed.select("text").mapInArrow(anchor_counts(window, anchor), "anchor long, n long")
-    repeated = written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
-    bits, bitmap = bitmap_of(repeated)
-    known = docs.sparkSession.sparkContext.broadcast(bitmap)
+    repeated = bitmap_of(written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors"))
+    on = keyed.select("text").mapInArrow(path_rows(window, anchor, context.broadcast(repeated)), "anchor long, low long, high long")
+    branching = bitmap_of(written(on.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor"), "branching"))
     kind = dict(docs.dtypes)["doc_id"]
-    edges = keyed.mapInArrow(window_rows(window, anchor, bits, known), f"edge long, doc_id {kind}, rid long, start int").repartition("edge")
+    edges = keyed.mapInArrow(edge_rows(window, anchor, context.broadcast((repeated, branching))), f"edge long, doc_id {kind}, tag int, start int, n byte")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    source = edges.groupBy("edge").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1").select(F.col("edge").alias("of"), "source")
-    return edges.join(source, F.col("edge") == F.col("of")).where(F.col("source") < place).select("rid", "start")
+    source = edges.groupBy("edge").agg(F.min(place).alias("source"), F.count("*").alias("times")).where("times > 1").select(F.col("edge").alias("of"), "source")
+    return edges.join(source, F.col("edge") == F.col("of")).where(F.col("source") < place).select("doc_id", "tag", "start", "n")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 10, text: bool = True) -> DataFrame:
     """Each document (doc_id, n_words, n_removed, kept: its kept words joined by one space, kept_sha256) without repeated windows.  text=False: kept is null."""
-    per_doc = repeated_windows(docs, window, anchor).groupBy("rid").agg(F.collect_set("start").alias("starts"))
-    whole = docs.select("text", "doc_id", F.xxhash64("doc_id", "text").alias("key"))
-    joined = whole.join(per_doc, F.col("key") == F.col("rid"), "left").select("text", "doc_id", "starts")
+    per_doc = repeated_edges(docs, window, anchor).groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_set(F.col("start").cast("long") * SHIFT + F.col("n")).alias("starts"))
+    whole = docs.select("text", "doc_id", F.hash("text").alias("tag"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag"))
+    joined = whole.join(per_doc, same, "left").select("text", "doc_id", "starts")
     kind = dict(docs.dtypes)["doc_id"]
     return joined.mapInArrow(rewrite(window, text), f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")

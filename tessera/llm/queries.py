@@ -19,6 +19,7 @@ from .multiindex import search
 from .oracle import SQL
 from .pii import digest, find
 from .substring import remove_repeats
+from .suffixlm import score
 from .tokencount import token_counts
 
 
@@ -60,6 +61,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }

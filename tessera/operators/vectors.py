@@ -119,7 +119,7 @@ def train_batch(vectors: DataFrame, vec_col: str, config: SomConfig, epochs: int
         h = neighbourhood(config.dimension, radius, config.toroidal)
         below = h @ count
         w = np.where(below[:, None] > 0, (h @ total) / np.maximum(below, 1e-12)[:, None], w)
-        metrics.append({"epoch": e, "qe": sum(r["qe"] for r in added) / max(1.0, count.sum()), "radius": radius})
+        metrics.append({"epoch": e, "qe": float(sum(r["qe"] for r in added) / max(1.0, count.sum())), "radius": radius})
     return w, metrics
 
 

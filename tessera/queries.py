@@ -374,7 +374,7 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 # hypervectors of users' event sequences
-_BITS, _HDIM, _MOST = 20, 2000, 8
+_BITS, _HDIM, _MOST = 20, 128, 8
 _SEQ = f"WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e WHERE i <= {_MOST}), it AS (SELECT DISTINCT event_type, {md5int('event_type || chr(58) || b::VARCHAR')} % {_HDIM} AS p FROM (SELECT DISTINCT event_type FROM events), range({_BITS}) t(b))"
 
 
@@ -499,7 +499,7 @@ def pq_encode(spark: SparkSession, d: str) -> DataFrame:
 _ASK = [round(VF.gaussian("query", i) / 8, 6) for i in range(64)]
 
 
-@query(f"{_CODES}, t AS (SELECT m, k, pow(list_distance({_ASK}::DOUBLE[][m * 8 + 1:m * 8 + 8], c), 2) AS d FROM b) SELECT vec_id, round(sum(d), 6) AS distance FROM code JOIN t USING (m, k) GROUP BY 1 ORDER BY distance, vec_id LIMIT 10")
+@query(f"{_CODES}, t AS (SELECT m, k, pow(list_distance(({_ASK}::DOUBLE[])[m * 8 + 1:m * 8 + 8], c), 2) AS d FROM b) SELECT vec_id, round(sum(d), 6) AS distance FROM code JOIN t USING (m, k) GROUP BY 1 ORDER BY distance, vec_id LIMIT 10")
 def pq_search(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 

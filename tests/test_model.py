@@ -81,3 +81,16 @@ def test_clusters(spark):
     posts = spark.createDataFrame([(p, "w") for p in (0, 1, 16, 120, 121, 136)], "position int, word string")
     got = {r["position"]: r["cluster"] for r in lk.clusters(posts, 16, 2).collect()}
     assert got[0] == got[1] == got[16] != got[120] and got[120] == got[121] == got[136]
+
+
+def test_command_line(spark, royal, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    royal.save(str(tmp_path / "m"))
+    main(["similar", str(tmp_path / "m"), "king", "--count", "1"])
+    assert "prince" in capsys.readouterr().out
+    main(["positions", str(tmp_path / "m"), "4,102"])
+    assert "queen" in capsys.readouterr().out
+    main(["lookup", str(tmp_path / "m"), "4", "--count", "2"])
+    main(["info", str(tmp_path / "m")])
+    assert "256" in capsys.readouterr().out

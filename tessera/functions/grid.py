@@ -48,10 +48,12 @@ def angle(a: Column, b: Column, dim: int) -> Column:
 
 
 def collinear(a: Column, b: Column, c: Column, dim: int, tolerance: float) -> Column:
-    """Do the two shorter distances add up to the longest, within a tolerance."""
-    d = [distance(a, b, dim), distance(b, c, dim), distance(a, c, dim)]
-    longest = F.greatest(*d)
-    return F.abs(2 * longest - (d[0] + d[1] + d[2])) < tolerance
+    """Is the longest of the three distances, less the shortest and a middle one, within a tolerance of 0.  The middle one
+    is a nest of extremes that is not always the median."""
+    x, y, z = distance(a, b, dim), distance(b, c, dim), distance(a, c, dim)
+    longest, shortest = F.greatest(x, y, z), F.least(x, y, z)
+    middle = F.least(longest, F.greatest(F.least(x, y), z, F.least(F.greatest(x, y), z)))
+    return F.abs(longest - shortest - middle) < tolerance
 
 
 def gaussian_weight(d: Column, sigma: float) -> Column:

@@ -32,12 +32,13 @@ def as_arrays(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def word_fingerprints(hits: DataFrame, most: int = 328) -> DataFrame:
-    """word, positions, cardinality, frequency (all hits) from hits (word, position)."""
+    """word, positions, cardinality, frequency (share of all hits) from hits (word, position)."""
     counts = hits.groupBy("word", "position").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("word"))
-    kept = top_positions(counts.withColumn("frequency", total), ["word"], "n", most)
-    out = kept.groupBy("word").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.first("frequency").cast("double").alias("frequency"))
-    return out.select("word", "positions", F.size("positions").alias("cardinality"), "frequency")
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    mine = F.sum("n").over(Window.partitionBy("word"))
+    kept = top_positions(counts.withColumn("mine", mine), ["word"], "n", most)
+    out = kept.groupBy("word").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.first("mine").alias("mine"))
+    return out.crossJoin(F.broadcast(total)).select("word", "positions", F.size("positions").alias("cardinality"), (F.col("mine") / F.col("total")).alias("frequency"))
 
 
 def weighted_fingerprints(hits: DataFrame, frequencies: DataFrame | None = None, most: int = 328) -> DataFrame:
@@ -91,8 +92,27 @@ def coverage(docs: DataFrame, fps: DataFrame, id_col: str = "doc_id", text_col:
     return out.withColumn("ratio", F.when(F.col("total") == 0, 1.0).otherwise(F.col("known") / F.col("total")))
 
 
-def stopword_scores(fps: DataFrame) -> DataFrame:
-    """word, score: how often a word was hit, against the most frequent one, by logarithm (0 where nothing was)."""
-    top = fps.agg(F.max("frequency").alias("top"))
-    value: Column = F.when(F.col("top") > 0, F.log1p("frequency") / F.log1p("top")).otherwise(F.lit(0.0))
-    return fps.crossJoin(F.broadcast(top)).select("word", value.alias("score"))  # one row
+def stopword_scores(fps: DataFrame, sample: int = 100) -> DataFrame:
+    """word, score in [0, 1]: short words, apostrophes, frequent words, and words whose fingerprints overlap (by more than
+    0.3 of the smaller) with many of a sample of `sample` words, those of the least MD5."""
+
+    def steps(x: Column, *cases: tuple[float, float]) -> Column:
+        out = F.when(x > cases[0][0], cases[0][1])
+        for limit, value in cases[1:]:
+            out = out.when(x > limit, value)
+        return out.otherwise(0.0)
+
+    some = fps.orderBy(F.md5("word"), "word").limit(sample).select(F.col("word").alias("other"), F.size("positions").alias("no"), F.col("positions").alias("op"))
+    n = F.broadcast(some.agg(F.count("*").alias("n")))
+    bits = some.select("other", "no", F.explode("op").alias("p"))  # sample * bits rows at most
+    met = fps.select("word", F.size("positions").alias("nw"), F.explode("positions").alias("p")).join(F.broadcast(bits), "p").where(F.col("word") != F.col("other"))
+    close = met.groupBy("word", "nw", "other", "no").agg(F.count("*").alias("i")).where(F.col("i") / F.least("nw", "no") > 0.3).groupBy("word").agg(F.count("*").alias("close"))
+    joined = fps.select("word", "frequency").join(close, "word", "left").join(F.broadcast(some.select("other")), F.col("word") == F.col("other"), "left").crossJoin(n)
+    others = F.col("n") - F.when(F.col("other").isNull(), 0).otherwise(1)
+    ratio = F.when(others > 0, F.coalesce("close", F.lit(0)) / others).otherwise(0.0)
+    size = F.octet_length("word")
+    short = F.when(size == 1, 0.5).when(size == 2, 0.4).when(size == 3, 0.25).when(size == 4, 0.1).otherwise(0.0)
+    mark = F.when(F.col("word").rlike("['’]"), 0.2).otherwise(0.0)
+    often = steps(F.col("frequency"), (0.005, 0.4), (0.002, 0.3), (0.001, 0.2), (0.0005, 0.1))
+    score = short + mark + often + steps(ratio, (0.5, 0.3), (0.3, 0.2), (0.15, 0.1))
+    return joined.select("word", F.round(F.least(score, F.lit(1.0)), 6).alias("score"))

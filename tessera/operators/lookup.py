@@ -32,13 +32,15 @@ def adaptive_radius(stats: DataFrame, config: LookupConfig = LookupConfig()) ->
 
 
 def lookup(posts: DataFrame, stats: DataFrame, positions: list[int], k: int, dim: int, config: LookupConfig = LookupConfig()) -> DataFrame:
-    """word, score (sum of Gaussian weights times 1 + idf), nearest (distance), overlap (queried places themselves)."""
+    """word, weighted (sum over the places near the asked ones of Gaussian weights times 1 + idf), overlap (such places of
+    the word), nearest (least distance), score = weighted * (1 + ln(overlap))."""
     q = posts.sparkSession.createDataFrame([(p,) for p in positions], "q int")
     near = q.select(F.explode(G.neighbours(F.col("q"), config.radius, dim)).alias("x")).select("x.position", "x.distance")
     w = G.gaussian_weight(F.col("distance"), config.sigma)
     by_place = near.groupBy("position").agg(F.sum(w).alias("w"), F.min("distance").alias("d"))
     hit = by_place.join(stats.select("position", "idf"), "position").join(posts, "position")
-    out = hit.groupBy("word").agg(F.round(F.sum(F.col("w") * (1 + F.col("idf"))), 6).alias("score"), F.min("d").alias("nearest"), F.sum(F.when(F.col("d") == 0, 1).otherwise(0)).alias("overlap"))
+    out = hit.groupBy("word").agg(F.sum(F.col("w") * (1 + F.col("idf"))).alias("weighted"), F.min("d").alias("nearest"), F.count("*").alias("overlap"))
+    out = out.select("word", F.round(F.col("weighted") * (1 + F.log("overlap")), 6).alias("score"), F.round("weighted", 6).alias("weighted"), "nearest", "overlap")
     return out.orderBy(F.desc("score"), "word").limit(k)
 
 

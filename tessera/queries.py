@@ -143,6 +143,7 @@ for _name, _column, _sql in (
     ("grid_manhattan", lambda a, b: G.manhattan(a, b, DIM), "(dr + dc)::INT"),
     ("grid_coordinates", lambda a, b: F.concat_ws(":", G.row(a, DIM).cast("string"), G.col(a, DIM).cast("string"), G.linear(G.row(a, DIM), G.col(a, DIM), DIM).cast("string")), "concat_ws(':', ra, ca, a)"),
     ("grid_angle", lambda a, b: F.round(G.angle(a, b, DIM), 9), f"round(atan2({_turn('(rb - ra)')}, {_turn('(cb - ca)')}), 9)"),
+    ("grid_collinear", lambda a, b: G.collinear(a, b, F.lit(5000), DIM, 1.0).cast("string"), f"(abs(greatest(dx, dy, dz) - least(dx, dy, dz) - least(greatest(dx, dy, dz), greatest(least(dx, dy), dz, least(greatest(dx, dy), dz)))) < 1.0)::VARCHAR"),
     ("grid_weights", lambda a, b: F.round(G.gaussian_weight(G.distance(a, b, DIM), 20.0) + G.exponential_weight(G.distance(a, b, DIM)), 9), "round(exp(-(dr * dr + dc * dc) / 800.0) + pow(2.0, -sqrt(dr * dr + dc * dc)), 9)"),
     ("grid_moore", lambda a, b: text_of(G.moore(a, DIM)), _shift([(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c])),
     ("grid_von_neumann", lambda a, b: text_of(G.von_neumann(a, DIM)), _shift([(-1, 0), (0, -1), (0, 1), (1, 0)])),
@@ -153,7 +154,8 @@ for _name, _column, _sql in (
         return places(spark, d).select("k", column(F.col("a"), F.col("b")).alias("value"))
 
     _run.__name__ = _name
-    query(f"{PLACES} SELECT k, {_sql} AS value FROM q")(_run)
+    _third = "".join(f", sqrt(pow(least(abs(r{x} - {5000 // DIM}), {DIM} - abs(r{x} - {5000 // DIM})), 2) + pow(least(abs(c{x} - {5000 % DIM}), {DIM} - abs(c{x} - {5000 % DIM})), 2)) AS d{y}" for x, y in (("b", "y"), ("a", "z")))
+    query(f"{PLACES} SELECT k, {_sql} AS value FROM (SELECT *, sqrt(dr * dr + dc * dc) AS dx{_third} FROM q)")(_run)
 
 
 # text
@@ -211,7 +213,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 # word fingerprints, postings and searches
-@query(f"WITH {WORDS} SELECT word, md5(string_agg(position, ',' ORDER BY position)) AS positions, count(*)::INT AS cardinality, any_value(total)::DOUBLE AS frequency FROM fpl GROUP BY word")
+@query(f"WITH {WORDS} SELECT word, md5(string_agg(position, ',' ORDER BY position)) AS positions, count(*)::INT AS cardinality, any_value(total) / (SELECT sum(n) FROM hits) AS frequency FROM fpl GROUP BY word")
 def word_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary(spark, d).withColumn("positions", F.md5(text_of(F.col("positions"))))
 
@@ -236,9 +238,16 @@ def words_at_positions(spark: SparkSession, d: str) -> DataFrame:
     return ix.words_at_positions(ix.postings(vocabulary(spark, d)), [5, 77, 1234, 1234, 9000, 16000], 25)
 
 
-@query(f"WITH {WORDS}, m AS (SELECT max(total)::DOUBLE AS top FROM fpl) SELECT word, round(ln(1 + any_value(total)) / ln(1 + any_value(top)), 9) AS score FROM fpl, m GROUP BY word")
+@query(
+    f"WITH {WORDS}, w AS (SELECT word, count(*) AS nw, any_value(total) / (SELECT sum(n) FROM hits) AS f FROM fpl GROUP BY word), s AS (SELECT word AS other, nw AS no FROM w ORDER BY md5(word), word LIMIT 100),"
+    " i AS (SELECT x.word, y.word AS other, count(*) AS i FROM fpl x JOIN fpl y USING (position) WHERE y.word IN (SELECT other FROM s) AND x.word <> y.word GROUP BY ALL),"
+    " c AS (SELECT i.word, count(*) AS c FROM i JOIN w USING (word) JOIN s USING (other) WHERE i / least(nw, no) > 0.3 GROUP BY 1),"
+    " r AS (SELECT word, strlen(word) AS b, f, coalesce(c, 0) / (100 - (word IN (SELECT other FROM s))::INT) AS r FROM w LEFT JOIN c USING (word))"
+    " SELECT word, round(least(1, (CASE b WHEN 1 THEN 0.5 WHEN 2 THEN 0.4 WHEN 3 THEN 0.25 WHEN 4 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(word, '[''’]') THEN 0.2 ELSE 0 END"
+    " + CASE WHEN f > 0.005 THEN 0.4 WHEN f > 0.002 THEN 0.3 WHEN f > 0.001 THEN 0.2 WHEN f > 0.0005 THEN 0.1 ELSE 0 END + CASE WHEN r > 0.5 THEN 0.3 WHEN r > 0.3 THEN 0.2 WHEN r > 0.15 THEN 0.1 ELSE 0 END)::DOUBLE), 6) AS score FROM r"
+)
 def stopword_scores(spark: SparkSession, d: str) -> DataFrame:
-    return fp.stopword_scores(vocabulary(spark, d)).withColumn("score", F.round("score", 9))
+    return fp.stopword_scores(vocabulary(spark, d))
 
 
 def _text_sql(weight: str, order: str, extra: str = "", join: str = "") -> str:
@@ -318,7 +327,7 @@ def position_stats(spark: SparkSession, d: str) -> DataFrame:
 _ASKED = [5, 77, 1234, 9000]
 
 
-@query(f"WITH {_STATS}, place AS (SELECT position, sum(exp(-distance * distance / 4.5)) AS w, min(distance) AS dd FROM near WHERE p IN (5, 77, 1234, 9000) GROUP BY 1) SELECT word, round(sum(w * (1 + idf)), 6) AS score, min(dd) AS nearest, count(*) FILTER (dd = 0) AS overlap FROM place JOIN stats USING (position) JOIN fpl USING (position) GROUP BY word ORDER BY score DESC, word LIMIT 20")
+@query(f"WITH {_STATS}, place AS (SELECT position, sum(exp(-distance * distance / 4.5)) AS w, min(distance) AS dd FROM near WHERE p IN (5, 77, 1234, 9000) GROUP BY 1) SELECT word, round(sum(w * (1 + idf)) * (1 + ln(count(*))), 6) AS score, round(sum(w * (1 + idf)), 6) AS weighted, min(dd) AS nearest, count(*) AS overlap FROM place JOIN stats USING (position) JOIN fpl USING (position) GROUP BY word ORDER BY score DESC, word LIMIT 20")
 def semantic_lookup(spark: SparkSession, d: str) -> DataFrame:
     posts = ix.postings(vocabulary(spark, d))
     return lk.lookup(posts, lk.position_stats(posts, DIM), _ASKED, 20, DIM)

@@ -92,7 +92,7 @@ def code_points(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
-PRIMES = (31, 43, 59, 61, 73, 97, 103, 113)
+PRIMES = tuple(map(int, "31 43 59 61 73 97 103 113".split()))
 
 
 def hash_encode(ordinals: Column, buckets: int, n: int = 8) -> Column:

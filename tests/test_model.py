@@ -12,7 +12,7 @@ from tessera.sources.tables import lines
 from tessera.streaming.fingerprints import fingerprint_stream
 
 WORDS = {"king": [1, 2, 3, 100, 101], "queen": [1, 2, 4, 100, 102], "prince": [1, 2, 5, 100, 103], "car": [50, 51, 52, 200, 201]}
-CORPUS = ["The quick brown fox jumps over the lazy dog", "A fast red fox leaps above the sleeping hound", "The cat and the dog are good friends", "Cats and dogs can be friendly animals", "The king and queen ruled the kingdom", "A queen is a female king in royal terms"]
+CORPUS = ["Our king met a queen near the old harbour", "Another queen and her king crossed the harbour by boat", "Sailors repair every boat before winter", "Winter keeps the boat and its sailors at home", "At home the king reads, and sailors sing"]
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +61,7 @@ def test_save_load_and_stream(spark, royal, tmp_path):
 def test_training(spark, tmp_path):
     (tmp_path / "c.txt").write_text("\n".join(CORPUS * 3) + "\n\n")
     docs = lines(spark, str(tmp_path / "c.txt"))
-    assert docs.count() == 18
+    assert docs.count() == 15
     model = Retina.train(docs, SomConfig(dimension=8, weight_dimension=16), epochs=3)
     assert model.contains("king") and model.similar_words("king", 3).count() > 0
     x = np.random.default_rng(0).normal(size=(400, 8))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 EMPTY = "array<int>"
 
 
@@ -97,7 +99,14 @@ def sparsify(a: Column, most: int) -> Column:
 
 
 def to_dense(a: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.array_contains(a, p).cast("int"))
+    """Runs of zeros between the positions, so the work is that of the grid, not of the grid times the positions."""
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+
+    def filled(s: Column) -> Column:
+        gaps = F.transform(F.arrays_zip(s.alias("p"), F.concat(F.array(F.lit(-1)), s).alias("q")), lambda x: F.when(x["p"].isNull(), zeros(size - 1 - x["q"])).otherwise(F.concat(zeros(x["p"] - x["q"] - 1), F.array(F.lit(1)))))
+        return F.flatten(gaps)
+
+    return let(F.array_sort(F.array_distinct(F.filter(a, lambda p: (p >= 0) & (p < size)))), filled)
 
 
 def from_dense(dense: Column) -> Column:

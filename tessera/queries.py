@@ -83,6 +83,7 @@ for _name, _column, _sql in (
     ("sdr_ranges", lambda a, b: text_of(sdr.remove_range(sdr.insert_range(a, 100, 110), 105, 600)), join_list("list_filter(list_sort(list_distinct(list_concat(a, range(100, 110)::INT[]))), lambda x: x < 105 OR x >= 600)")),
     ("sdr_sparsity", lambda a, b: F.round(sdr.sparsity(a, GRID), 9), f"round(len(a) / {GRID}.0, 9)"),
     ("sdr_dense_roundtrip", lambda a, b: text_of(sdr.from_dense(sdr.to_dense(F.filter(a, lambda p: p < 256), 256))), join_list("list_filter(a, lambda x: x < 256)")),
+    ("sdr_dense_roundtrip_grid", lambda a, b: text_of(sdr.from_dense(sdr.to_dense(a, GRID))), join_list("a")),
 ):
 
     def _run(spark: SparkSession, d: str, column: Callable[[Column, Column], Column] = _column) -> DataFrame:
@@ -404,6 +405,29 @@ def hdc_ngram(spark: SparkSession, d: str) -> DataFrame:
     return sequences(spark, d).select("user_id", text_of(hdc.encode_ngram(F.slice("items", 1, 3), _HDIM, _BITS)).alias("value"))
 
 
+# the same of whole sequences, whatever their length, at the dimension of 2,000; users without a position stay
+_WHOLE = 2000
+_ALL = f"WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), it AS (SELECT DISTINCT event_type, {md5int('event_type || chr(58) || b::VARCHAR')} % {_WHOLE} AS p FROM (SELECT DISTINCT event_type FROM events), range({_BITS}) t(b))"
+_EVERY = "SELECT user_id, coalesce(value, '') AS value FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT user_id, string_agg(p, ',' ORDER BY p) AS value FROM v WHERE {} GROUP BY user_id) USING (user_id)"
+
+
+def whole_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return hdc.ordered(table(spark, d, "events"), "user_id", F.date_trunc("day", F.col("ts")), ["ts", "event_id"], "event_type")
+
+
+@query(f"{_ALL}, v AS (SELECT user_id, n, (p + n - 1 - i) % {_WHOLE} AS p, count(*) AS c FROM e JOIN it USING (event_type) GROUP BY user_id, n, (p + n - 1 - i) % {_WHOLE}) " + _EVERY.format("c >= ceil(n * 0.5)"))
+def hdc_sequence_whole(spark: SparkSession, d: str) -> DataFrame:
+    return hdc.encode_sequences(whole_sequences(spark, d), "user_id", _WHOLE, _BITS).select("user_id", text_of(F.col("positions")).alias("value"))
+
+
+@query(
+    f"{_ALL}, g AS (SELECT user_id, n, i - k AS s, (p + k) % {_WHOLE} AS p FROM e JOIN it USING (event_type), range(3) r(k) WHERE i >= k AND i - k <= n - 3 GROUP BY user_id, n, i - k, (p + k) % {_WHOLE} HAVING count(*) % 2 = 1),"
+    " v AS (SELECT user_id, n, p, count(*) AS c FROM g GROUP BY ALL) " + _EVERY.format("c >= ceil((n - 2) * 0.3::DOUBLE)")
+)
+def hdc_ngram_text(spark: SparkSession, d: str) -> DataFrame:
+    return hdc.encode_text(whole_sequences(spark, d), "user_id", 3, _WHOLE, _BITS).select("user_id", text_of(F.col("positions")).alias("value"))
+
+
 @query(f"{PAIR}, q AS (SELECT id, list_transform(a, lambda x: (x + 16300) % {GRID}) AS r, b FROM p) SELECT id, array_to_string(list_sort(r), ',') AS value FROM q")
 def hdc_permute(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("id", text_of(hdc.permute(F.col("a"), 16300, GRID)).alias("value"))

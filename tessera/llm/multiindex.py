@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+EXACT = 1 << 16  # candidates scored at a time
+
 
 def kmeans(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
@@ -114,15 +116,18 @@ def scorer(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             js = queries["js"].combine_chunks()
             seen = np.zeros((len(q), int(max(j.max(), js.flatten().to_numpy().max(initial=0))) + 1), bool)
             seen[np.repeat(np.arange(len(q)), np.diff(js.offsets.to_numpy())), js.flatten().to_numpy()] = True
+            longest = np.linalg.norm(e, axis=1).max()
             for s in range(0, len(q), 256):
                 score = q[s : s + 256] @ e.T
                 score[~seen[s : s + 256][:, j]] = -np.inf
                 score[qid[s : s + 256][:, None] == eid[None, :]] = -np.inf
-                m = min(k + 12, score.shape[1])  # a few more: the product may round otherwise than the sum below
-                top = np.argpartition(-score, m - 1, 1)[:, :m]
-                r, c = np.nonzero(np.take_along_axis(score, top, 1) > -np.inf)
-                c = top[r, c]
-                exact = (q[s + r] * e[c]).sum(1)
+                m = min(k, score.shape[1])
+                kth = np.partition(score, score.shape[1] - m, 1)[:, score.shape[1] - m]
+                # all entries that may tie with the k-th: the product may round otherwise than the sum below
+                slack = 4 * e.shape[1] * np.finfo(float).eps * np.linalg.norm(q[s : s + 256], axis=1) * longest
+                least = np.where(np.isfinite(kth) & np.isfinite(slack), kth - slack, -np.inf)
+                r, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                exact = np.concatenate([(q[s + r[x : x + EXACT]] * e[c[x : x + EXACT]]).sum(1) for x in range(0, len(r), EXACT)] or [np.zeros(0)])
                 o = np.lexsort((eid[c], -exact, r))
                 r, c, exact = r[o], c[o], exact[o]
                 rank = np.arange(len(r)) - np.searchsorted(r, r)

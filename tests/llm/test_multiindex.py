@@ -53,3 +53,15 @@ def test_everything_visited_is_exact_and_edges(spark):
     few = search(df.where("vec_id < 4"), F.col("id") % 20 == 0).collect()
     assert [(r["query_id"], r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2), (0, 3)]
     assert search(df.limit(0), F.col("id") % 20 == 0).collect() == []
+
+
+def test_ties_beyond_any_margin(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1200, 64))
+    v[200:900] = 3 * v[0]  # 700 entries share the best score of query 0, and of one another
+    ids = rng.permutation(1200)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in search(df, F.col("id") % 20 == 0, fraction=1.0, cells=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute(ids, v)

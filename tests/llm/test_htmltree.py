@@ -63,3 +63,15 @@ def test_edges(spark):
     got = sorted(map(tuple, main_text(df, ["page_id", "url"]).collect()), key=str)
     assert got == sorted([(1, "u", "", 0), (None, None, "", 0), (1, "u", "Some words of text here.", 24)], key=str)
     assert main_text(df.limit(0), ["page_id"]).collect() == []
+
+
+def test_elements_whose_text_stays():
+    first, last = "First of the long paragraphs of this article, which says much about it.", "Second and last of the paragraphs, with more words to read here."
+    whole = lambda x: extract(f"<body><article><p>{first}</p>{x}<p>{last}</p></article></body>", default_model()).split("\n")
+    for empty in ("<svg/>", "<svg width='4' />", "<math/>", "<button>", "<object>", "<map name=m>", "<select>", "<canvas>", "<svg><path d='M0'/><script href='a'/></svg>", "<video src=a>", "<script>var a = 1</script>", "<textarea>typed</textarea>"):
+        assert whole(empty) == [first, last], empty
+    assert whole("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == [first, "so x=1 holds", last]
+    assert whole("<object data=a><object data=b></object><p>Words in place of the outer one.</p></object>") == [first, "Words in place of the outer one.", last]
+    assert whole("<map name=m><area><p>Words in the map, to be kept with it.</p></map>") == [first, "Words in the map, to be kept with it.", last]
+    nested = parse("<div><svg/><p>a</p></div>").elements
+    assert [e.tag for e in nested] == ["body", "div", "p"]

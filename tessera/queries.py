@@ -282,6 +282,31 @@ def text_fp_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return item_fingerprints(spark, d, "tfidf").select("item_id", text_of(F.col("positions")).alias("positions"))
 
 
+# the same of all documents, with the items as queries against them
+def document_fingerprints(spark: SparkSession, d: str, how: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    more = {"df": fp.document_frequencies(docs), "n_docs": docs.count()} if how == "tfidf" else {}
+    return fp.text_fingerprints(docs, vocabulary(spark, d), how, TEXT_BITS, "doc_id", **more)
+
+
+for _how in ("union", "weighted", "tfidf"):
+
+    def _run(spark: SparkSession, d: str, how: str = _how) -> DataFrame:
+        return document_fingerprints(spark, d, how).select("doc_id", text_of(F.col("positions")).alias("positions"))
+
+    _run.__name__ = f"doc_fp_{_how}"
+    query()(_run)
+
+
+@query()
+def doc_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, doc_id, similarity (Jaccard) of at least 0.1: all items against all documents, by shared positions."""
+    bits = lambda f, key: f.select(key, F.size("positions").alias(f"n_{key}"), F.explode("positions").alias("position"))
+    items, docs = bits(item_fingerprints(spark, d, "weighted"), "item_id"), bits(document_fingerprints(spark, d, "weighted"), "doc_id")
+    met = docs.join(items, "position").groupBy("item_id", "doc_id", "n_item_id", "n_doc_id").agg(F.count("*").alias("i"))
+    return met.select("item_id", "doc_id", F.round(F.col("i") / (F.col("n_item_id") + F.col("n_doc_id") - F.col("i")), 9).alias("similarity")).where("similarity >= 0.1")
+
+
 @query(f"WITH {WORDS}, ct AS {toks('conversations', 'conv_id, turn')}, k AS (SELECT conv_id, turn, count(*) AS total, count(card.word) AS known FROM (SELECT conv_id, turn, unnest(toks) AS word FROM ct) LEFT JOIN card USING (word) GROUP BY ALL) SELECT conv_id * 1000 + turn AS id, coalesce(known, 0) AS known, coalesce(total, 0) AS total, CASE WHEN coalesce(total, 0) = 0 THEN 1.0 ELSE known / total END AS ratio FROM conversations LEFT JOIN k USING (conv_id, turn)")
 def fp_coverage(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")

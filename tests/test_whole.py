@@ -44,3 +44,28 @@ def test_dense_roundtrip_of_the_grid(spark):
     d = "/root/testdata/sf0.001"
     whole = {r["id"]: ",".join(map(str, r["a"])) for r in Q.pairs(spark, d).collect()}
     assert {r["id"]: r["value"] for r in Q.QUERIES["sdr_dense_roundtrip_grid"](spark, d).collect()} == whole
+
+
+def test_fingerprints_of_all_documents(spark, tmp_path):
+    texts = {1: "red fish blue fish one fish", 2: "one red bird sings and one blue bird sings", 3: None, 4: "", 5: "red fish blue fish one fish", 6: "the cat and the dog and the bird " * 40, 7: "lonely"}
+    items = {10: "red fish blue fish", 11: "nothing known here"}
+    pq.write_table(pa.table({"doc_id": list(texts), "text": list(texts.values())}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": list(items), "text": list(items.values())}), tmp_path / "benchmark.parquet")
+    d = str(tmp_path)
+    vocabulary = {r["word"]: r["positions"] for r in Q.vocabulary(spark, d).collect()}
+    df = Counter(w for t in texts.values() for w in set((t or "").split()))
+
+    def brute(text, how):
+        tf, weight = Counter((text or "").split()), Counter()
+        for w, n in tf.items():
+            for p in vocabulary.get(w, ()):
+                weight[p] += 0 if how == "union" else n if how == "weighted" else n * round(math.log(len(texts) / df[w]) * 1_000_000)
+        return sorted(sorted(weight, key=lambda p: (-weight[p], p))[: Q.TEXT_BITS])
+
+    for how in ("union", "weighted", "tfidf"):
+        got = {r["doc_id"]: r["positions"] for r in Q.QUERIES[f"doc_fp_{how}"](spark, d).collect()}
+        assert got == {k: ",".join(map(str, b)) for k, t in texts.items() if (b := brute(t, how))}
+    assert {1, 2, 5, 6} <= set(got)
+    docs, asked = ({k: set(brute(t, "weighted")) for k, t in x.items()} for x in (texts, items))
+    close = {(i, k): round(len(a & b) / len(a | b), 9) for i, a in asked.items() for k, b in docs.items() if a and b and len(a & b) / len(a | b) >= 0.1}
+    assert {(r["item_id"], r["doc_id"]): r["similarity"] for r in Q.doc_similarity_pairs(spark, d).collect()} == close and close

@@ -1,8 +1,8 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.  DataFrame functions only.
+"""Benchmark decontamination: exact prefix filter on shingle sets, verified exactly.  DataFrame functions only.
 
 An item is contained in a document if `percent` of its distinct k-word shingles, or more, are among the document's.
-Items are partitioned by their number n of shingles, and each partition keeps bottom-s MinHash sketches with
-s = n - ceil(percent * n) + 1: so many that a containing document must hold one of them, however long it is, because at
+The filter replaces size-partitioned MinHash: `part` takes no part in the search, and documents get no sketch.  An item of
+n shingles keeps the s = n - ceil(percent * n) + 1 least hashes of its set: so many that a containing document must hold one of them, however long it is, because at
 most n - ceil(percent * n) shingles can be missing.  A document looks its shingles up in the sketches (those above the
 largest sketch value are dropped before any join); the pairs found are counted exactly on the full sets.
 

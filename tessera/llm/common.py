@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.  Only where the session names none (as in tests) is one made, and set."""
+    """The folder of spark.checkpoint.dir.  A local session that names none (as in tests) gets one; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -29,12 +34,58 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class _Scratch(threading.local):
+    """The folders of the operators that run now, innermost last, and the catalog's tables in each."""
+
+    def __init__(self) -> None:
+        self.folders: list[tuple[str, list[str]]] = []
+
+
+_scratch = _Scratch()
+
+
+def scratched(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator (whose first argument is a DataFrame) with its result written, and all else that it wrote removed."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        spark = docs.sparkSession
+        _scratch.folders.append((os.path.join(shared_dir(spark), f"{operator.__name__}-{uuid.uuid4().hex}"), []))
+        folder, tables = _scratch.folders[-1]
+        try:
+            result = operator(docs, *args, **options)
+            _scratch.folders.pop()
+            path = _path(spark, operator.__name__)
+            result.write.parquet(path)
+            return spark.read.schema(result.schema).parquet(path)
+        finally:
+            if _scratch.folders and _scratch.folders[-1][0] == folder:
+                _scratch.folders.pop()
+            for name in tables:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    return run
+
+
+def _path(spark: SparkSession, label: str) -> str:
+    return os.path.join(_scratch.folders[-1][0] if _scratch.folders else shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = _path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keyed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """The same in buckets by key, so that joins and groups on it move the other side alone.  For operators that are scratched."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", _path(spark, label)).saveAsTable(name)
+    _scratch.folders[-1][1].append(name)
+    return spark.table(name)
 
 
 def ascii_lower(text: Column) -> Column:

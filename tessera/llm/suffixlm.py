@@ -1,177 +1,510 @@
-"""Language-model scores from n-grams of any length: suffix arrays over shards of the training corpus.
+"""Language-model scores from n-grams of any length: binary search in a suffix array that is cut into shards by content.
 
-A token's context is the text before it, as far back as it still occurs in training.  Training documents are dealt to
-shards of about `shard_words` words, documents to be scored to blocks of as many; each pair of a shard and a block meets
-once in a task.  There the reversed texts of both are sorted together by prefix doubling, and for each token
-
-* the longest context that the shard has is the longer of the common prefixes with the training neighbours on both sides
-  in that order (compared by the ranks that the doubling left, in logarithmic steps),
-* the suffixes that begin with it are a range, whose ends binary search finds; its size is the count of the context,
-  and the part of it that goes on with the token is the count of both.
-
-Over the shards the longest context wins and the counts of the shards that have it add up.  Then
+A token's context is the text before it, as far back as it still occurs in training.  Then
 
     p(w | context) = (count(context, w) + a * p0(w)) / (count(context) + a),   a = STRENGTH / 2 ** (length - 1), at least LEAST
 
 with the smoothed unigram p0(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)).  p sums to one over words, end and unknown word.
 
-Every shard meets every block, so the work grows with the square of the corpus: this form suits held-out sets and
-corpora of some ten million words (see the README for figures).
+If d[i:] is the longest match that starts at i and ends before e(i), the context of token p is d[i:p] for the least i with
+e(i) >= p, and count(context, w) is count(d[i:p+1]): counts of prefixes of suffixes are all that is asked for.  A document
+of the training corpus matches itself from its start, so it asks for its first suffix alone; others ask for all of theirs.
+Every word of the corpus moves a fixed number of times:
+
+1. Documents become blocks of about `block_words` word codes.  Each block's vocabulary goes to shards by hash of the word,
+   which number the words by frequency and return their counts.
+2. Each block's suffixes, cut to DEPTH words and with equal ones counted, go sorted to the shard of their first two words:
+   together the shards are the corpus's suffix array.  The suffixes asked for are looked up there by binary search, word
+   after word, and the counts of their first two to DEPTH words return; training suffixes learn whether they were met.
+3. What matches DEPTH words or more is a few runs of text.  A run's first suffix is sought among the training suffixes
+   with the same DEPTH words, which are now sent with as much text as can match; these are sorted, and binary search gives
+   the longest match and the count of each length.  Where the match ends before the run does, e(i) of further suffixes is
+   found by dividing the run: between two suffixes with equal e there is none to ask for.  Rounds are logarithmic in the
+   length of a run.
 
-Defined results.  Null or empty text: one token, the end.  Rows with equal id and text are one document to score, whose
-result all of them get, and count in training as often as they occur.  A null id counts as the text "".  No training
-documents: p0 alone, with N = V = 0.  Words are compared by 64-bit hashes.  Extra columns are ignored.
+A first pair of words is one shard's, with equal suffixes counted once for each block; the suffixes of DEPTH words that are
+many (`hot`) are dealt to parts, each asked for the same text, and their counts add up.
+
+Defined results.  Null or empty text: one token, the end.  Rows are scored one by one, and count in training as often as
+they occur.  A null id counts as the text "".  No training documents: p0 alone, with N = V = 0.  Words are compared as
+they are, runs as well.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import struct
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from .bytewords import blocks, word_hashes
-from .common import written
+from .bytewords import blocks, mix64, word_hashes
+from .common import keyed, scratched, written
 
 STRENGTH, LEAST = 200.0, 0.05
-END = 1  # stands for the end of a text; no hash of a word by all likelihood
-
-
-def hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Column 0 (text) to its word hashes; the other columns stay."""
-    for batch in batches:
-        out, parts = [], []
-        for b in blocks(batch.column(0), lower=True):
-            parts.append(word_hashes(b).view(np.int64))
-            out.append(b.n_words)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(out))]) if out else np.zeros(1, np.int64)
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays(offsets, values).cast(pa.list_(pa.int64())), *batch.columns[1:]], ["words", *batch.schema.names[1:]])
-
-
-def doubling(x: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the suffixes of x by their first 1, 2, 4, ... elements, until all differ."""
-    levels, k, n = [np.unique(x, return_inverse=True)[1].astype(np.int64)], 1, len(x)
-    while levels[-1].max(initial=0) + 1 < n:
-        r = levels[-1]
-        after = np.zeros(n, np.int64)
-        after[: n - k] = r[k:] + 1
-        levels.append(np.unique(r * (n + 1) + after, return_inverse=True)[1].astype(np.int64))
-        k *= 2
-    return levels
-
-
-def common(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of suffixes i and j (different ones)."""
-    n, got = len(levels[0]), np.zeros(len(i), np.int64)
-    i, j = i.copy(), j.copy()
-    for q in range(len(levels) - 1, -1, -1):
-        fits = (i < n) & (j < n)
-        same = np.zeros(len(i), bool)
-        same[fits] = levels[q][i[fits]] == levels[q][j[fits]]
-        step = same.astype(np.int64) << q
-        got, i, j = got + step, i + step, j + step
-    return got
-
-
-def contexts(train: list[np.ndarray], queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token (end included) of the queries on end: length of its longest context in train, the context's count,
-    and that of the context followed by the token.  Where nothing matches, the lengths are 0 and the counts 0."""
-    docs = [*train, *queries]
-    size = np.array([len(d) + 2 for d in docs])  # a separator, the words, the end
-    total, n_train = int(size.sum()), int(size[: len(train)].sum())
-    first = np.cumsum(size) - size
-    x = np.empty(total, np.int64)
-    for s, d in zip(first.tolist(), docs, strict=True):
-        x[s + 1 : s + 1 + len(d)] = d
-    x[first + size - 1] = END
-    x = np.unique(x, return_inverse=True)[1] + len(docs) if total else x
-    x[first] = np.arange(len(docs))  # separators differ: no context goes past one
-    token = np.ones(total, bool)
-    token[first] = False
-    levels = doubling(x[::-1].copy())
-    order = np.argsort(levels[-1])
-    # the context of position p begins, reversed, right after p: at n - p
-    place = np.empty(total, np.int64)
-    place[order] = np.arange(total)
-    entry = np.zeros(total, bool)  # by order: contexts of training tokens
-    p_train = np.flatnonzero(token[:n_train])
-    entry[place[total - p_train]] = True
-    p = np.flatnonzero(token[n_train:]) + n_train
-    at = place[total - p]
-    idx = np.arange(total)
-    before = np.maximum.accumulate(np.where(entry, idx, -1))[at]
-    after = np.minimum.accumulate(np.where(entry, idx, total)[::-1])[::-1][at]
-    length = np.zeros(len(p), np.int64)
-    for near, there in ((before, before >= 0), (after, after < total)):
-        length[there] = np.maximum(length[there], common(levels, order[at[there]], order[near[there]]))
-    some = length > 0
-    q, at, need, word = order[at[some]], at[some], length[some], x[p[some]]
-
-    def edge(step: int) -> np.ndarray:
-        """The farthest place in this direction whose suffix shares the needed length."""
-        low, high = np.zeros(len(q), np.int64), np.where(step > 0, total - 1 - at, at)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            other = order[at + step * mid]
-            fits = (other == q) | (common(levels, q, other) >= need)
-            low, high = np.where(fits, mid, low), np.where(fits, high, mid - 1)
-        return at + step * low
-
-    start, stop = edge(-1), edge(1) + 1
-    upto = np.concatenate([[0], np.cumsum(entry)])
-    key = np.sort(x[p_train] * (total + 1) + place[total - p_train])
-    count, both = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-    count[some] = upto[stop] - upto[start]
-    both[some] = np.searchsorted(key, word * (total + 1) + stop) - np.searchsorted(key, word * (total + 1) + start)
-    return length, count, both
-
-
-def matcher(shard: pa.Table, block: pa.Table) -> pa.Table:
-    rows = [np.asarray(w, np.int64) for w in block["words"].to_pylist()]
-    length, count, both = contexts([np.asarray(w, np.int64) for w in shard["words"].to_pylist()], rows)
-    off = np.concatenate([[0], np.cumsum([len(w) + 1 for w in rows])]).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(off, pa.array(v.astype(np.int32))) for v in (length, count, both)]
-    return pa.table({"key": block["key"], "length": lists[0], "count": lists[1], "both": lists[2]})
-
-
-def scorer(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
-    """One document's matches in all shards, with its tokens' counts, to its scores."""
+DEPTH = 4
+NONE = np.zeros(0, np.int64)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers from 0 on, compressed byte by byte."""
+    out = []
+    for a in arrays:
+        top = int(a.max(initial=0))
+        size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+        data = pa.compress(a.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes(), "zstd", asbytes=True)
+        out.append(struct.pack("<BII", size, len(a), len(data)) + data)
+    return b"".join(out)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        size, n, packed = struct.unpack_from("<BII", blob, at)
+        at += 9
+        raw = pa.decompress(blob[at : at + packed], n * size, "zstd", asbytes=True)
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(f"<u{size}").reshape(n).astype(np.int64))
+        at += packed
+    return out
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else NONE
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted value in the sorted keys, or -1."""
+    at = np.searchsorted(keys, wanted)
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
+
+
+# 1. blocks and the vocabulary
+
+
+def encoder(block_words: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Columns text, doc_id, held to one row for each block of documents; the empty word stands for a document's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = [], []
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+
+        def row(ids: list[pa.Array]) -> pa.RecordBatch:
+            data, lens, n_words = (np.concatenate([b[k] for b in block]) for k in range(3))
+            offsets = np.concatenate([[0], np.cumsum(np.insert(lens, np.cumsum(n_words), 0))])
+            words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            codes, spelt = words.indices.to_numpy().astype(np.int64), words.dictionary
+            out = np.concatenate(held)
+            order = np.argsort(-np.bincount(codes, minlength=len(spelt)), kind="stable")
+            codes, spelt = np.argsort(order)[codes], spelt.take(pa.array(order))
+            n = np.bincount(codes[np.repeat(~out, n_words + 1)], minlength=len(spelt))
+            off = np.frombuffer(spelt.buffers()[1], np.int64, len(spelt) + 1)
+            letters = np.frombuffer(spelt.buffers()[2], np.uint8) if spelt.buffers()[2] else np.zeros(0, np.uint8)
+            shard = (word_hashes(SimpleNamespace(data=letters, start=off[:-1], end=off[1:])) % np.uint64(shards)).astype(np.int64)
+            sent = []
+            for s in np.unique(shard).tolist():
+                mine = np.flatnonzero(shard == s)
+                take = spelt.take(pa.array(mine))
+                o = np.frombuffer(take.buffers()[1], np.int64, len(take) + 1)
+                sent.append({"shard": s, "blob": pack(np.diff(o), n[mine], np.frombuffer(take.buffers()[2], np.uint8) if take.buffers()[2] else NONE)})
+            ids = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([pack(out, n_words)]), pa.array([pack(codes)]), pa.array([pack(shard)]),
+                    pa.array([int((n_words[~out] + 1).sum())], pa.int64()), pa.array([sent], pa.list_(pa.struct([("shard", pa.int32()), ("blob", pa.binary())]))),
+                ],
+                ["block", "ids", "docs", "codes", "of", "n_train", "sent"],
+            )
+
+        ids, size = [], 0
+        for batch in batches:
+            flags = np.array(batch.column(2).to_pylist(), bool)
+            for b in blocks(batch.column(0), lower=True):
+                lens = b.end - b.start
+                ink = np.zeros(len(b.data) + 1, np.int8)
+                np.add.at(ink, b.start, 1)
+                np.add.at(ink, b.end, -1)
+                block.append((b.data[np.cumsum(ink[:-1]) > 0], lens, b.n_words))
+                held.append(flags[b.first : b.first + len(b.n_words)])
+                ids.append(batch.column(1).slice(b.first, len(b.n_words)))
+                size += len(lens) + len(b.n_words)
+                if size >= block_words:
+                    yield row(ids)
+                    block, held, ids, size, number = [], [], [], 0, number + 1
+        if block:
+            yield row(ids)
+
+    return run
+
+
+def numbered(shards: int) -> Callable[[pa.Table], pa.Table]:
+    """Words of a shard from all blocks to their numbers (from 1, frequent ones first) and counts, for each block."""
 
     def run(rows: pa.Table) -> pa.Table:
-        length, count, both = (np.array(rows[c].to_pylist(), np.int64) for c in ("length", "count", "both"))
-        unigram = np.array(rows["unigram"][0].as_py(), np.int64)
-        best = length.max(0)
-        won = length == best
-        c, cw = (count * won).sum(0), (both * won).sum(0)
-        base = (unigram + 0.1) / (n + 0.1 * (v + 1))
-        a = np.maximum(STRENGTH / 2.0 ** np.minimum(np.maximum(best - 1, 0), 60), LEAST)
-        p = np.where(best > 0, (cw + a * base) / (c + a), base)
-        return pa.table({"key": rows["key"][:1], "n_tokens": [len(best)], "n_known": [int((unigram > 0).sum())], "base_score": [float(np.log10(base).sum())], "score": [float(np.log10(p).sum())]})
+        sent = [unpack(b) for b in rows["blob"].to_pylist()]
+        lens, n, letters = (joined(list(x)) for x in zip(*sent, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(lens)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(letters.astype(np.uint8))]).dictionary_encode()
+        code = words.indices.to_numpy().astype(np.int64)
+        total = np.bincount(code, weights=n, minlength=len(words.dictionary)).astype(np.int64)
+        rank = np.argsort(np.argsort(-total, kind="stable"))
+        number = 1 + rank * shards + rows["shard"][0].as_py()
+        ends = np.cumsum([len(x[0]) for x in sent])
+        out = [pack(number[c], total[c]) for c in np.split(code, ends[:-1])]
+        known = [int((total > 0).sum())] + [0] * (len(out) - 1)
+        return pa.table({"block": rows["block"], "shard": rows["shard"], "blob": pa.array(out, pa.binary()), "known": pa.array(known, pa.int64())})
+
+    return run
+
+
+def messages(said: pa.Table, kind: int) -> dict[int, bytes]:
+    """What the shards say to a block, by shard (kinds 0, 1: of its suffixes; 2: of its words)."""
+    rows = said.filter(pa.array([k == kind for k in said["kind"].to_pylist()], pa.bool_()))
+    return dict(zip(rows["shard"].to_pylist(), rows["blob"].to_pylist(), strict=True))
+
+
+class Block:
+    """A block of documents with the numbers and counts of its words, and the distinct starts of its suffixes."""
+
+    def __init__(self, row: pa.Table, said: pa.Table) -> None:
+        self.key, self.ids = row["block"][0].as_py(), row["ids"].combine_chunks().flatten()
+        held, n_words = unpack(row["docs"][0].as_py())
+        (codes,), (of,) = unpack(row["codes"][0].as_py()), unpack(row["of"][0].as_py())
+        blobs = messages(said, 2)
+        ids, c = (joined(list(x)) for x in zip(*(unpack(blobs[s]) for s in sorted(blobs)), strict=True))
+        place = np.argsort(np.argsort(of, kind="stable"))  # sent shard by shard, in the order of the codes
+        self.x, self.c = ids[place][codes], c[place][codes]
+        self.held, self.size = held > 0, n_words + 1
+        self.first = np.cumsum(self.size) - self.size
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        n = len(codes)
+        self.left = (self.first + self.size)[self.doc] - np.arange(n)  # tokens from here to the document's end
+        code = np.concatenate([codes + 1, np.zeros(DEPTH, np.int64)])
+        at = lambda j: np.where(self.left > j, code[j : j + n], 0)
+        pair = np.unique(np.append(at(0) * (len(of) + 2) + at(1), 0), return_inverse=True)[1]
+        later = np.where(self.left > 2, np.concatenate([pair[2:n], [pair[n]] * min(n, 2)]), pair[n])
+        self.suffix = pair[:n] * (n + 2) + later
+
+    def starts(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct suffixes (cut to DEPTH) among these positions: one position of each, the suffix of each position, counts."""
+        _, first, which, n = np.unique(self.suffix[positions], return_index=True, return_inverse=True, return_counts=True)
+        return positions[first], which, n
+
+    def words(self, at: np.ndarray, j: int) -> np.ndarray:
+        return np.where(self.left[at] > j, self.x[np.minimum(at + j, len(self.x) - 1)], 0)
+
+    def training(self) -> np.ndarray:
+        return np.flatnonzero(~self.held[self.doc] & (self.left > 1))
+
+    def asked(self) -> np.ndarray:
+        start = np.zeros(len(self.x), bool)
+        start[self.first] = True
+        return np.flatnonzero((self.held[self.doc] | start) & (self.left > 1))
+
+
+def sender(shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block's training suffixes (kind 0) and those asked for (kind 1), by shard."""
+
+    def run(row: pa.Table, said: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], []]
+        if len(row):
+            b = Block(row, said)
+            for kind, positions in enumerate((b.training(), b.asked())):
+                at, which, n = b.starts(positions)
+                if kind:
+                    n = np.bincount(which, weights=b.held[b.doc[positions]], minlength=len(at)) > 0  # not only for its own start
+                shard = shard_of(b, at, shards)
+                order = np.argsort(shard, kind="stable")
+                ends = np.flatnonzero(np.diff(shard[order])) + 1
+                for mine in np.split(order, ends) if len(order) else []:
+                    out[0].append(int(shard[mine[0]]))
+                    out[1].append(b.key)
+                    out[2].append(kind)
+                    out[3].append(pack(*(b.words(at[mine], j) for j in range(DEPTH)), n[mine]))
+        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["shard", "block", "kind", "blob"])
+
+    return run
+
+
+def shard_of(b: Block, at: np.ndarray, shards: int) -> np.ndarray:
+    pair = b.words(at, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.words(at, 1).astype(np.uint64)
+    return (mix64(pair) % np.uint64(shards)).astype(np.int64)
+
+
+def searcher(rows: pa.Table) -> pa.Table:
+    """A shard's sorted suffixes; those asked for get the counts of their first 2 to DEPTH words, training ones a mark:
+    1 if someone asks for them, 2 if they are asked for or occur twice."""
+    kinds, blobs = rows["kind"].to_pylist(), [unpack(b) for b in rows["blob"].to_pylist()]
+    side = [[joined([x[j] for k, x in zip(kinds, blobs, strict=True) if k == kind]) for j in range(DEPTH + 1)] for kind in (0, 1)]
+    (train, n), (asked, held) = ((s[:DEPTH], s[DEPTH]) for s in side)
+    place, wanted = (np.unique(train[0], return_inverse=True)[1], find(np.unique(train[0]), asked[0]))
+    counts, top = [], max((int(a.max(initial=0)) for a in (*train, *asked)), default=0)
+    if top >= 1 << 31:  # small numbers in place of large ones
+        seen = np.unique(joined(train))
+        train, asked = [find(seen, a) for a in train], [np.where((p := find(seen, a)) < 0, len(seen), p) for a in asked]
+        top = len(seen)
+    for j in range(1, DEPTH):
+        keys, place = np.unique(place * (top + 1) + train[j], return_inverse=True)
+        wanted = np.where(wanted < 0, -1, find(keys, wanted * (top + 1) + asked[j]))
+        total = np.bincount(place, weights=n, minlength=len(keys)).astype(np.int64)
+        counts.append(np.where(wanted < 0, 0, total[wanted] if len(total) else 0))
+    met = np.zeros(len(keys), bool)
+    met[wanted[(wanted >= 0) & ((held > 0) | (counts[-1] > 1))]] = True
+    mark = (met[place].astype(np.int64) + (met[place] | (total[place] > 1))) if len(place) else NONE
+    out, at = [], [0, 0]
+    for k, x in zip(kinds, blobs, strict=True):
+        part = slice(at[k], at[k] + len(x[0]))
+        out.append(pack(*(c[part] for c in counts)) if k else pack(mark[part]))
+        at[k] = part.stop
+    return pa.table({"block": rows["block"], "shard": rows["shard"], "kind": rows["kind"], "blob": pa.array(out, pa.binary())})
+
+
+# 2. what a block knows then
+
+
+def smoothing(length: np.ndarray) -> np.ndarray:
+    return np.maximum(STRENGTH / 2.0 ** np.minimum(np.maximum(length - 1, 0), 60), LEAST)
+
+
+def log_p(length: np.ndarray, count: np.ndarray, both: np.ndarray, base: np.ndarray) -> np.ndarray:
+    a = smoothing(length)
+    return np.log10(np.where(length > 0, (both + a * base) / (count + a), base))
+
+
+def resolver(shards: int, n: int, v: int, doc_id: DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block with what its shards say, to rows of three kinds: documents (0: scores of all tokens but those of runs), runs
+    (1: words from `at` on, counts of the words from the first deep token on) and training segments (2: words, starts asked for)."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("doc_id", to_arrow_type(doc_id)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("chain", pa.bool_()), ("words", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+
+    def run(row: pa.Table, said: pa.Table) -> pa.Table:
+        if not len(row):
+            return schema.empty_table()
+        b = Block(row, said)
+        size = len(b.x)
+        count = [b.c.copy()] + [np.zeros(size, np.int64) for _ in range(DEPTH - 1)]  # count[j][i]: of the j + 1 words from i on
+        mark = np.zeros(size, np.int64)
+        for kind, positions in enumerate((b.training(), b.asked())):
+            at, which, _ = b.starts(positions)
+            order = np.argsort(shard_of(b, at, shards), kind="stable")
+            got = messages(said, kind)
+            values = [joined(list(x)) for x in zip(*(unpack(got[s]) for s in sorted(got)), strict=True)]
+            for to, value in zip(count[1:] if kind else [mark], values, strict=bool(values)):
+                back = np.empty(len(at), np.int64)
+                back[order] = value
+                to[positions] = back[which]
+        base = (b.c + 0.1) / (n + 0.1 * (v + 1))
+        pos = np.arange(size)
+        p = pos - b.first[b.doc]  # place in the document
+        length, c, both = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        trained = ~b.held[b.doc]
+        for j in range(1, DEPTH):  # contexts of j words
+            start = np.maximum(pos - j, 0)
+            ok = (p >= j) & (count[j - 1][start] > 0) & (~trained | (p == j))
+            length[ok], c[ok], both[ok] = j, count[j - 1][start[ok]], count[j][start[ok]]
+        deep_train = trained & (p >= DEPTH)
+        length[deep_train], c[deep_train], both[deep_train] = p[deep_train], 1, 1
+        deep = (b.left >= DEPTH) & (count[DEPTH - 1] > 0) & ~trained  # suffixes of DEPTH words or more
+        token = np.zeros(size, bool)  # tokens that a run scores
+        runs: list[tuple[int, int, int, bool]] = []  # first suffix, number of words, number of tokens to score, is it a training document
+        first = np.flatnonzero(deep & ~np.concatenate([[False], deep[:-1] & (b.doc[1:] == b.doc[:-1])]))
+        last = np.flatnonzero(deep & ~np.concatenate([deep[1:] & (b.doc[1:] == b.doc[:-1]), [False]]))
+        for s, e in zip(first.tolist(), last.tolist(), strict=True):
+            runs.append((s, e - s + DEPTH, e - s + 1 - int(b.left[e] == DEPTH), False))
+        more = np.append(np.flatnonzero((mark == 0) | (b.left < DEPTH)), size)  # a training suffix that occurs once, or is too short
+        for s in b.first[(~b.held) & (b.size >= DEPTH)].tolist():
+            if count[DEPTH - 1][s] > 1:
+                e = int(more[np.searchsorted(more, s)])  # suffixes s to e - 1 occur twice
+                words = e - s + DEPTH - 1
+                runs.append((s, words, min(words - DEPTH + 1, int(b.left[s]) - DEPTH), True))
+        for s, _, tokens, _ in runs:
+            token[s + DEPTH : s + DEPTH + tokens] = True
+        score = np.where(token, 0.0, log_p(length, c, both, base))
+        per = lambda w: np.bincount(b.doc, weights=w, minlength=len(b.size))
+        docs = len(b.size)
+        on = (mark > 0) & (b.left >= DEPTH) & trained
+        seg_first = np.flatnonzero(on & ~np.concatenate([[False], on[:-1] & (b.doc[1:] == b.doc[:-1])]))
+        seg_last = np.flatnonzero(on & ~np.concatenate([on[1:] & (b.doc[1:] == b.doc[:-1]), [False]]))
+        segments = []
+        for s, e in zip(seg_first.tolist(), seg_last.tolist(), strict=True):
+            starts = np.flatnonzero(mark[s : e + 1] == 2)
+            if len(starts):
+                segments.append((s, e, starts))
+        k = docs + len(runs) + len(segments)
+        lists = [[NONE] * docs + [b.x[s : s + w] for s, w, _, _ in runs] + [b.x[s : e + DEPTH] for s, e, _ in segments], [NONE] * docs + [b.c[s + DEPTH : s + DEPTH + t] for s, _, t, _ in runs] + [x for _, _, x in segments]]
+        whole = lambda values, rest: pa.array([*values, *([None] * rest)])
+        columns = [
+            pa.array([0] * docs + [1] * len(runs) + [2] * len(segments), pa.int32()), pa.array([b.key] * k, pa.int64()),
+            pa.array([*range(docs), *(r[0] for r in runs), *(s[0] for s in segments)], pa.int64()), pa.array([*range(docs), *(int(b.doc[r[0]]) for r in runs), *(int(b.doc[s[0]]) for s in segments)], pa.int64()),
+            pa.concat_arrays([b.ids, pa.nulls(k - docs, b.ids.type)]), whole(b.held.tolist(), k - docs), whole(b.size.tolist(), k - docs), whole(per(b.c > 0).astype(np.int64).tolist(), k - docs),
+            whole(per(np.log10(base)).tolist(), k - docs), whole(per(score).tolist(), k - docs), pa.array([False] * docs + [r[3] for r in runs] + [False] * len(segments), pa.bool_()),
+            *(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]), pa.int32()), pa.array(joined(xs), pa.int64())) for xs in lists),
+        ]
+        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+# 3. runs
+
+
+def as_bytes(column: pa.ChunkedArray) -> list[bytes]:
+    """Lists of numbers as bytes that sort as they do."""
+    column = column.combine_chunks()
+    data = column.flatten().to_numpy(zero_copy_only=False).astype(">u8").tobytes()
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]) * 8
+    return [data[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Number of words with which both begin."""
+    low, high = 0, min(len(a), len(b)) // 8
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[: 8 * mid] == b[: 8 * mid] else (low, mid - 1)
+    return low
+
+
+def lengths(query: bytes, suffixes: list[bytes], upto: list[int]) -> tuple[list[int], list[int]]:
+    """The longest match of the query with one of the sorted suffixes, and each shorter one that more of them have, with their counts."""
+    at = bisect_left(suffixes, query)
+    match = max(common(query, suffixes[i]) for i in (at - 1, at) if 0 <= i < len(suffixes))
+    out: tuple[list[int], list[int]] = ([], [])
+    while match:
+        prefix = query[: 8 * match]
+        low, high = bisect_left(suffixes, prefix), bisect_left(suffixes, prefix + b"\xff")
+        out[0].append(match)
+        out[1].append(upto[high] - upto[low])
+        match = max((common(query, suffixes[i]) for i in (low - 1, high) if 0 <= i < len(suffixes)), default=0)
+    return out
+
+
+def matched(train: pa.Table, asked: pa.Table) -> pa.Table:
+    by: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+    for key, part, words, n in zip(train["key"].to_pylist(), train["part"].to_pylist(), as_bytes(train["words"]) if len(train) else [], train["n"].to_pylist(), strict=True):
+        by.setdefault((key, part), []).append((words, n))
+    arrays: dict[tuple[int, int], tuple[list[bytes], list[int]]] = {}
+    for k, rows in by.items():
+        rows.sort()
+        upto = [0]
+        for _, n in rows:
+            upto.append(upto[-1] + n)
+        arrays[k] = [w for w, _ in rows], upto
+    got = [lengths(q, *arrays[key, part]) if (key, part) in arrays else ([], []) for key, part, q in zip(asked["key"].to_pylist(), asked["part"].to_pylist(), as_bytes(asked["words"]) if len(asked) else [], strict=True)]
+    return pa.table({"block": asked["block"], "at": asked["at"], "low": asked["low"], "s": asked["s"], "len": pa.array([x for x, _ in got], pa.list_(pa.int64())), "n": pa.array([x for _, x in got], pa.list_(pa.int64()))})
+
+
+def run_scores(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
+    """Runs (words, counts of the tokens, and the matches of some of their suffixes) to the sum of their tokens' scores."""
+
+    def one(chain: bool, unigram: list[int], matches: list[dict]) -> float:
+        tokens = len(unigram)
+        longest: dict[int, int] = {}
+        for m in matches:
+            longest[m["s"]] = max(longest.get(m["s"], 0), m["len"][0])
+        counts: dict[int, np.ndarray] = {}
+        for m in matches:  # parts add up
+            c, above = counts.setdefault(m["s"], np.zeros(longest[m["s"]] + 2, np.int64)), 0
+            for length, k in zip(m["len"], m["n"], strict=True):
+                c[: length + 1] += k - above
+                above = k
+        at = np.arange(DEPTH, DEPTH + tokens)
+        context, c, both = np.zeros(tokens, np.int64), np.zeros(tokens, np.int64), np.zeros(tokens, np.int64)
+        done = DEPTH - 1
+        for s in sorted(counts):
+            end = s + longest[s]
+            mine = (at > done) & (at <= end)
+            context[mine], c[mine], both[mine] = at[mine] - s, counts[s][at[mine] - s], counts[s][at[mine] - s + 1]
+            done = max(done, end)
+        if chain:  # the document itself goes on
+            c, both = np.maximum(c, 1), np.maximum(both, 1)
+        return float(log_p(context, c, both, (np.array(unigram) + 0.1) / (n + 0.1 * (v + 1))).sum()) if tokens else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([one(*x) for x in zip(*columns, strict=True)], pa.float64())], ["block", "doc", "deep"])
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, shard_words: int = 1_000_000) -> DataFrame:
+def match_runs(runs: DataFrame, segments: DataFrame, hot: int) -> list[DataFrame]:
+    """block, at, s, len, n: for suffixes s of the runs, as many as it takes, their matches among the segments."""
+    spark = runs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = lambda words, at=0: F.xxhash64(F.slice(words, F.lit(at) + 1, F.lit(DEPTH)))
+    starts = segments.select(F.col("block").alias("in"), F.col("at").alias("from"), F.explode(F.col("more").cast("array<int>")).alias("start"), "words")
+    active = keyed(starts.select(key("words", F.col("start")).alias("key"), "in", "from", "start").repartition(buckets, "key"), "active", "key", buckets)
+    often = written(active.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts")), "often")
+    text = segments.select(F.col("block").alias("in"), F.col("at").alias("from"), F.col("words").alias("text"))
+
+    def match(asked: DataFrame) -> DataFrame:
+        """asked: block, at, low, s, words."""
+        asked = written(asked.withColumn("key", key("words")).join(often, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "asked")
+        wants = asked.groupBy("key").agg(F.max(F.size("words")).alias("want"), F.max("parts").alias("parts"))
+        found = active.join(wants, "key").join(text, ["in", "from"]).select("key", "parts", F.expr("slice(text, start + 1, want)").alias("words"))
+        found = found.groupBy("key", "parts", "words").agg(F.count("*").alias("n"))
+        part = F.pmod(F.xxhash64("words"), F.col("parts").cast("long")).cast("int")
+        group = F.pmod(F.hash("key", "part"), F.lit(16 * buckets)).alias("group")
+        suffixes = found.select("key", part.alias("part"), "words", "n").select(group, "*")
+        each = asked.select("block", "at", "low", "s", "words", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(group, "*")
+        out = "block long, at long, low int, s int, len array<long>, n array<long>"
+        return written(suffixes.groupBy("group").cogroup(each.groupBy("group")).applyInArrow(matched, out), "matches")
+
+    last = F.when(F.col("chain"), F.lit(0)).otherwise(F.size("words") - DEPTH)
+    ends = F.explode(F.array_distinct(F.array(F.lit(0), last))).alias("s")
+    # the last suffix of a run matches DEPTH words
+    done = [match(runs.select("block", "at", F.lit(0).alias("low"), ends, "words").withColumn("words", F.expr("slice(words, s + 1, size(words))")))]
+    reach = lambda m: m.where(F.size("len") > 0).groupBy("block", "at", "low", "s").agg((F.col("s") + F.max(F.element_at("len", 1))).cast("int").alias("end"))
+    first = reach(done[0]).where("s = 0").select("block", "at", F.col("end").alias("low_end"))
+    # suffixes between low and high whose matches end between low_end and high_end; words: from low to high_end
+    todo = runs.where("not chain").join(first, ["block", "at"]).select("block", "at", F.lit(0).alias("low"), "low_end", last.alias("high"), F.size("words").alias("high_end"), "words")
+    while True:
+        todo = written(todo.where("high - low > 1 and low_end < high_end"), "intervals")
+        if todo.limit(1).count() == 0:
+            return done
+        probes = F.array_distinct(F.array(*(F.col("low") + F.ceil((F.col("high") - F.col("low")) * (q / 4)).cast("int") for q in (1, 2, 3))))
+        asked = todo.select("block", "at", "low", "high", "words", F.explode(probes).alias("s")).where("s < high")
+        done.append(match(asked.select("block", "at", "low", "s", F.expr("slice(words, s - low + 1, size(words))").alias("words"))))
+        met = reach(done[-1]).groupBy("block", "at", "low").agg(F.collect_list(F.struct("s", "end")).alias("met"))
+        points = F.array_sort(F.concat(F.array(F.struct(F.col("low").alias("s"), F.col("low_end").alias("end"))), "met", F.array(F.struct(F.col("high").alias("s"), F.col("high_end").alias("end")))))
+        pairs = F.expr("transform(sequence(1, size(p) - 1), i -> struct(element_at(p, i) as a, element_at(p, i + 1) as b))")
+        split = todo.join(met, ["block", "at", "low"]).withColumn("p", points).select("block", "at", F.col("low").alias("was"), "words", F.explode(pairs).alias("x"))
+        todo = split.select("block", "at", F.col("x.a.s").alias("low"), F.col("x.a.end").alias("low_end"), F.col("x.b.s").alias("high"), F.col("x.b.end").alias("high_end"), F.expr("slice(words, x.a.s - was + 1, x.b.end - x.a.s)").alias("words"))
+
+
+@scratched
+def score(docs: DataFrame, held_out: Column, block_words: int = 2_000_000, shard_words: int = 1_000_000, hot: int = 100_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    keyed = docs.select("text", "doc_id", F.xxhash64("doc_id", "text").alias("key"), held_out.alias("held_out"))
-    schema = f"words array<long>, doc_id {dict(docs.dtypes)['doc_id']}, key long, held_out boolean"
-    rows = written(keyed.mapInArrow(hashed_words, schema), "words")
-    words = rows.agg(F.sum(F.size("words") + 1).alias("all"), F.sum(F.when(~F.col("held_out"), F.size("words") + 1).otherwise(0)).alias("train")).collect()[0]
-    n_shards, n_blocks = (max(1, -(-(x or 0) // shard_words)) for x in (words["train"], words["all"]))
-    tokens = F.explode(F.concat("words", F.array(F.lit(END).cast("long")))).alias("word")
-    counts = rows.where(~F.col("held_out")).select(tokens).groupBy("word").agg(F.count("*").alias("c"))
-    counts = written(counts, "unigrams")
-    v = counts.count()
-    queries = rows.dropDuplicates(["key"])
-    spelt = queries.select("key", F.posexplode(F.concat("words", F.array(F.lit(END).cast("long")))).alias("at", "word"))
-    known = spelt.join(counts, "word", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0)).alias("c")))).alias("u"))
-    unigram = known.select("key", F.transform("u", lambda x: x["c"]).alias("unigram"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    shards = rows.where(~F.col("held_out")).select("words", F.pmod("key", F.lit(n_shards)).cast("int").alias("shard"), spread(n_blocks).alias("block"))
-    asked = queries.select("words", "key", F.pmod("key", F.lit(n_blocks)).cast("int").alias("block"), spread(n_shards).alias("shard"))
-    met = asked.groupBy("shard", "block").cogroup(shards.groupBy("shard", "block")).applyInArrow(lambda a, b: matcher(b, a), "key long, length array<int>, count array<int>, both array<int>")
-    scored = met.join(unigram, "key").groupBy("key").applyInArrow(scorer(int(words["train"] or 0), v), "key long, n_tokens long, n_known long, base_score double, score double")
-    return rows.select("doc_id", "held_out", "key").join(scored, "key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words["train"] or 0).cast("long").alias("train_tokens"), "base_score", "score")
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0  # a word has some six bytes
+    vocabulary_shards, shards = max(1, -(-total // (24 * shard_words))), max(1, -(-total // (6 * shard_words)))
+    buckets = max(many, -(-total // (6 * block_words)))
+    shape = f"block long, ids array<{kind.simpleString()}>, docs binary, codes binary, of binary, n_train long, sent array<struct<shard:int,blob:binary>>"
+    columns = docs.select("text", "doc_id", F.coalesce(held_out, F.lit(False)).alias("held"))
+    rows = keyed(columns.mapInArrow(encoder(block_words, vocabulary_shards), shape), "blocks", "block", buckets)
+    sent = rows.select("block", F.explode("sent").alias("m")).select("block", "m.shard", "m.blob")
+    vocabulary = written(sent.groupBy("shard").applyInArrow(numbered(vocabulary_shards), "block long, shard int, blob binary, known long"), "vocabulary")
+    n = rows.agg(F.sum("n_train")).collect()[0][0] or 0
+    v = vocabulary.agg(F.sum("known")).collect()[0][0] or 0
+    said = vocabulary.select("block", "shard", F.lit(2).alias("kind"), "blob")
+    rows = rows.select("block", "ids", "docs", "codes", "of")
+    suffixes = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(sender(shards), "shard int, block long, kind int, blob binary")
+    answers = written(suffixes.groupBy("shard").applyInArrow(searcher, "block long, shard int, kind int, blob binary"), "answers")
+    said = said.unionByName(answers)
+    out = f"kind int, block long, at long, doc long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, chain boolean, words array<long>, more array<long>"
+    known = written(rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(resolver(shards, n, v, kind), out), "resolved")
+    runs, segments = known.where("kind = 1"), known.where("kind = 2")
+    done = match_runs(runs, segments, hot)
+    matches = reduce(DataFrame.unionByName, done).where(F.size("len") > 0).groupBy("block", "at").agg(F.collect_list(F.struct("s", "len", "n")).alias("matches"))
+    deep = runs.join(matches, ["block", "at"]).select("block", "doc", "chain", "more", "matches").mapInArrow(run_scores(n, v), "block long, doc long, deep double")
+    scored = known.where("kind = 0").join(deep.groupBy("block", "doc").agg(F.sum("deep").alias("deep")), ["block", "doc"], "left")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"))

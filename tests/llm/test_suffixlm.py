@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.language import held_out
 from tessera.llm.queries import op8_lm_scoring
-from tessera.llm.suffixlm import LEAST, STRENGTH, contexts, score
+from tessera.llm.suffixlm import LEAST, STRENGTH, score
 
 
 def toks(t):
@@ -44,35 +45,57 @@ def brute(rows, is_train):
     return out
 
 
-def test_contexts_of_numbers():
-    rng = np.random.default_rng(1)
-    train = [rng.integers(5, 8, rng.integers(0, 12)) for _ in range(12)]
-    queries = [rng.integers(5, 9, rng.integers(0, 12)) for _ in range(12)] + [train[3]]
-    got = list(zip(*(x.tolist() for x in contexts(train, queries)), strict=True))
-    want, all_ = [], [[*d.tolist(), -1] for d in train]
-    for q in queries:
-        d = [*q.tolist(), -1]
-        for i in range(len(d)):
-            for s in range(i + 1):
-                c = d[s:i]
-                follow = [t[j + len(c)] for t in all_ for j in range(len(t) - len(c)) if t[j : j + len(c)] == c]
-                if follow or not c:
-                    want.append((len(c), len(follow), sum(x == d[i] for x in follow)) if c else (0, 0, 0))
-                    break
-    assert got == want
+def check(spark, rows, **options):
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int").repartition(3)
+    train = {r["doc_id"] for r in df.where(~held_out(F.col("doc_id"), 10, 0)).collect()}
+    got = [tuple(r) for r in score(df, held_out(F.col("doc_id"), 10, 0), **options).collect()]
+    want = {r[0]: r for r in brute(rows, lambda i: i in train)}
+    assert len(got) == len(rows)
+    for g in got:
+        assert g == want[g[0]], (g, want[g[0]])
+    assert len(train) < len({r[0] for r in rows})
 
 
-@pytest.mark.parametrize("shard_words", [10_000, 90])
-def test_against_brute_force(spark, shard_words):
+@pytest.mark.parametrize("options", [{}, {"block_words": 60, "shard_words": 10, "hot": 2}])
+def test_against_brute_force(spark, options):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(12)] + ["É", "x,"]
     rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(25)))) for i in range(50)]
     rows += [(100, rows[7][1].upper()), (101, None), (102, ""), (None, "w1 w2"), (103, rows[9][1] + " w3")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int")
-    train = {r["doc_id"] for r in df.where(~held_out(F.col("doc_id"), 10, 0)).collect()}
-    got = [tuple(r) for r in score(df, held_out(F.col("doc_id"), 10, 0), shard_words).collect()]
-    want = {r[0]: r for r in brute(rows, lambda i: i in train)}
-    assert len(got) == len(rows) and all(g == want[g[0]] for g in got)
+    check(spark, rows, **options)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_words": 100, "shard_words": 20, "hot": 3}])
+def test_copies_and_patchworks(spark, options):
+    """Near copies of each other, patchworks of their pieces, and long repetitions: runs that more than one match covers."""
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(60)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(60)}"
+        a, b = sorted(rng.sample(range(len(w)), 2))
+        rows.append((i, " ".join(rng.choice([w, w[a:b], w[b:] + w[:a], w[:a]]))))
+    rows += [(i, " ".join(["so"] * rng.randrange(40))) for i in range(60, 90)]
+    check(spark, rows, **options)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    out = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
+    df = spark.createDataFrame([(out, a), (out + 1, a.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_known"] for r in score(df, held_out(F.col("doc_id"), 10, 0)).collect()}
+    assert got == {out: 1, out + 1: 2}
+
+
+def test_very_long_text_and_empty_table(spark):
+    text = " ".join(f"x{i % 5000}" for i in range(60_000))
+    df = spark.createDataFrame([(i, text) for i in range(12)] + [(12, None)], "doc_id long, text string")
+    got = score(df, F.col("doc_id") == 3, block_words=100_000).toPandas().set_index("doc_id")
+    assert got.n_tokens[3] == 60_001 and (got.score.drop(12) - got.score[0]).abs().max() < 0.01
     assert score(df.limit(0), F.lit(False)).collect() == []
 
 

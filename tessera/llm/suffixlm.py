@@ -480,7 +480,7 @@ def match_runs(runs: DataFrame, segments: DataFrame, hot: int) -> list[DataFrame
 
 
 @scratched
-def score(docs: DataFrame, held_out: Column, block_words: int = 2_000_000, shard_words: int = 1_000_000, hot: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_words: int = 1_000_000, shard_words: int = 1_000_000, hot: int = 100_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType

@@ -16,7 +16,7 @@ Every word of the corpus moves a fixed number of times:
 2. Each block's suffixes, cut to DEPTH words and with equal ones counted, go sorted to the shard of their first two words:
    together the shards are the corpus's suffix array.  The suffixes asked for are looked up there by binary search, word
    after word, and the counts of their first two to DEPTH words return; training suffixes learn whether they were met.
-3. What matches DEPTH words or more is a few runs of text.  A run's first suffix is sought among the training suffixes
+3. What matches DEPTH words or more is a few runs of text; equal ones (by SHA-256) are matched once.  A run's first suffix is sought among the training suffixes
    with the same DEPTH words, which are now sent with as much text as can match; these are sorted, and binary search gives
    the longest match and the count of each length.  Where the match ends before the run does, e(i) of further suffixes is
    found by dividing the run: between two suffixes with equal e there is none to ask for.  Rounds are logarithmic in the
@@ -32,6 +32,7 @@ they are, runs as well.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -281,7 +282,7 @@ def log_p(length: np.ndarray, count: np.ndarray, both: np.ndarray, base: np.ndar
 def resolver(shards: int, n: int, v: int, doc_id: DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block with what its shards say, to rows of three kinds: documents (0: scores of all tokens but those of runs), runs
     (1: words from `at` on, counts of the words from the first deep token on) and training segments (2: words, starts asked for)."""
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("doc_id", to_arrow_type(doc_id)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("chain", pa.bool_()), ("words", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("doc_id", to_arrow_type(doc_id)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("chain", pa.bool_()), ("same", pa.binary()), ("words", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
 
     def run(row: pa.Table, said: pa.Table) -> pa.Table:
         if not len(row):
@@ -344,6 +345,7 @@ def resolver(shards: int, n: int, v: int, doc_id: DataType) -> Callable[[pa.Tabl
             pa.array([*range(docs), *(r[0] for r in runs), *(s[0] for s in segments)], pa.int64()), pa.array([*range(docs), *(int(b.doc[r[0]]) for r in runs), *(int(b.doc[s[0]]) for s in segments)], pa.int64()),
             pa.concat_arrays([b.ids, pa.nulls(k - docs, b.ids.type)]), whole(b.held.tolist(), k - docs), whole(b.size.tolist(), k - docs), whole(per(b.c > 0).astype(np.int64).tolist(), k - docs),
             whole(per(np.log10(base)).tolist(), k - docs), whole(per(score).tolist(), k - docs), pa.array([False] * docs + [r[3] for r in runs] + [False] * len(segments), pa.bool_()),
+            pa.array([None] * docs + [hashlib.sha256(x.tobytes() + b"|" + y.tobytes()).digest() for x, y in zip(lists[0][docs:], lists[1][docs:], strict=True)], pa.binary()),
             *(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]), pa.int32()), pa.array(joined(xs), pa.int64())) for xs in lists),
         ]
         return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
@@ -397,7 +399,7 @@ def matched(train: pa.Table, asked: pa.Table) -> pa.Table:
             upto.append(upto[-1] + n)
         arrays[k] = [w for w, _ in rows], upto
     got = [lengths(q, *arrays[key, part]) if (key, part) in arrays else ([], []) for key, part, q in zip(asked["key"].to_pylist(), asked["part"].to_pylist(), as_bytes(asked["words"]) if len(asked) else [], strict=True)]
-    return pa.table({"block": asked["block"], "at": asked["at"], "low": asked["low"], "s": asked["s"], "len": pa.array([x for x, _ in got], pa.list_(pa.int64())), "n": pa.array([x for _, x in got], pa.list_(pa.int64()))})
+    return pa.table({"run": asked["run"], "low": asked["low"], "s": asked["s"], "len": pa.array([x for x, _ in got], pa.list_(pa.int64())), "n": pa.array([x for _, x in got], pa.list_(pa.int64()))})
 
 
 def run_scores(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
@@ -428,55 +430,56 @@ def run_scores(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([one(*x) for x in zip(*columns, strict=True)], pa.float64())], ["block", "doc", "deep"])
+            columns = [batch.column(i).to_pylist() for i in range(1, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(*x) for x in zip(*columns, strict=True)], pa.float64())], ["run", "deep"])
 
     return run
 
 
 def match_runs(runs: DataFrame, segments: DataFrame, hot: int) -> list[DataFrame]:
-    """block, at, s, len, n: for suffixes s of the runs, as many as it takes, their matches among the segments."""
+    """run, low, s, len, n: for suffixes s of the runs (run, chain, words), as many as it takes, their matches among the segments
+    (same, words, more, times)."""
     spark = runs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = lambda words, at=0: F.xxhash64(F.slice(words, F.lit(at) + 1, F.lit(DEPTH)))
-    starts = segments.select(F.col("block").alias("in"), F.col("at").alias("from"), F.explode(F.col("more").cast("array<int>")).alias("start"), "words")
-    active = keyed(starts.select(key("words", F.col("start")).alias("key"), "in", "from", "start").repartition(buckets, "key"), "active", "key", buckets)
+    segments = keyed(segments.withColumn("of", F.xxhash64("same")).repartition(buckets, "of"), "segments", "of", buckets)
+    starts = segments.select("of", "same", F.explode(F.col("more").cast("array<int>")).alias("start"), "words")
+    active = keyed(starts.select(key("words", F.col("start")).alias("key"), "of", "same", "start").repartition(buckets, "key"), "active", "key", buckets)
     often = written(active.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts")), "often")
-    text = segments.select(F.col("block").alias("in"), F.col("at").alias("from"), F.col("words").alias("text"))
+    text = segments.select("of", "same", F.col("words").alias("text"), F.col("times").alias("n"))
 
     def match(asked: DataFrame) -> DataFrame:
-        """asked: block, at, low, s, words."""
+        """asked: run, low, s, words."""
         asked = written(asked.withColumn("key", key("words")).join(often, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "asked")
         wants = asked.groupBy("key").agg(F.max(F.size("words")).alias("want"), F.max("parts").alias("parts"))
-        found = active.join(wants, "key").join(text, ["in", "from"]).select("key", "parts", F.expr("slice(text, start + 1, want)").alias("words"))
-        found = found.groupBy("key", "parts", "words").agg(F.count("*").alias("n"))
+        found = active.join(wants, "key").join(text, ["of", "same"]).select("key", "parts", F.expr("slice(text, start + 1, want)").alias("words"), "n")
         part = F.pmod(F.xxhash64("words"), F.col("parts").cast("long")).cast("int")
         group = F.pmod(F.hash("key", "part"), F.lit(16 * buckets)).alias("group")
         suffixes = found.select("key", part.alias("part"), "words", "n").select(group, "*")
-        each = asked.select("block", "at", "low", "s", "words", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(group, "*")
-        out = "block long, at long, low int, s int, len array<long>, n array<long>"
+        each = asked.select("run", "low", "s", "words", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(group, "*")
+        out = "run binary, low int, s int, len array<long>, n array<long>"
         return written(suffixes.groupBy("group").cogroup(each.groupBy("group")).applyInArrow(matched, out), "matches")
 
     last = F.when(F.col("chain"), F.lit(0)).otherwise(F.size("words") - DEPTH)
     ends = F.explode(F.array_distinct(F.array(F.lit(0), last))).alias("s")
     # the last suffix of a run matches DEPTH words
-    done = [match(runs.select("block", "at", F.lit(0).alias("low"), ends, "words").withColumn("words", F.expr("slice(words, s + 1, size(words))")))]
-    reach = lambda m: m.where(F.size("len") > 0).groupBy("block", "at", "low", "s").agg((F.col("s") + F.max(F.element_at("len", 1))).cast("int").alias("end"))
-    first = reach(done[0]).where("s = 0").select("block", "at", F.col("end").alias("low_end"))
+    done = [match(runs.select("run", F.lit(0).alias("low"), ends, "words").withColumn("words", F.expr("slice(words, s + 1, size(words))")))]
+    reach = lambda m: m.where(F.size("len") > 0).groupBy("run", "low", "s").agg((F.col("s") + F.max(F.element_at("len", 1))).cast("int").alias("end"))
+    first = reach(done[0]).where("s = 0").select("run", F.col("end").alias("low_end"))
     # suffixes between low and high whose matches end between low_end and high_end; words: from low to high_end
-    todo = runs.where("not chain").join(first, ["block", "at"]).select("block", "at", F.lit(0).alias("low"), "low_end", last.alias("high"), F.size("words").alias("high_end"), "words")
+    todo = runs.where("not chain").join(first, "run").select("run", F.lit(0).alias("low"), "low_end", last.alias("high"), F.size("words").alias("high_end"), "words")
     while True:
         todo = written(todo.where("high - low > 1 and low_end < high_end"), "intervals")
         if todo.limit(1).count() == 0:
             return done
         probes = F.array_distinct(F.array(*(F.col("low") + F.ceil((F.col("high") - F.col("low")) * (q / 4)).cast("int") for q in (1, 2, 3))))
-        asked = todo.select("block", "at", "low", "high", "words", F.explode(probes).alias("s")).where("s < high")
-        done.append(match(asked.select("block", "at", "low", "s", F.expr("slice(words, s - low + 1, size(words))").alias("words"))))
-        met = reach(done[-1]).groupBy("block", "at", "low").agg(F.collect_list(F.struct("s", "end")).alias("met"))
+        asked = todo.select("run", "low", "high", "words", F.explode(probes).alias("s")).where("s < high")
+        done.append(match(asked.select("run", "low", "s", F.expr("slice(words, s - low + 1, size(words))").alias("words"))))
+        met = reach(done[-1]).groupBy("run", "low").agg(F.collect_list(F.struct("s", "end")).alias("met"))
         points = F.array_sort(F.concat(F.array(F.struct(F.col("low").alias("s"), F.col("low_end").alias("end"))), "met", F.array(F.struct(F.col("high").alias("s"), F.col("high_end").alias("end")))))
         pairs = F.expr("transform(sequence(1, size(p) - 1), i -> struct(element_at(p, i) as a, element_at(p, i + 1) as b))")
-        split = todo.join(met, ["block", "at", "low"]).withColumn("p", points).select("block", "at", F.col("low").alias("was"), "words", F.explode(pairs).alias("x"))
-        todo = split.select("block", "at", F.col("x.a.s").alias("low"), F.col("x.a.end").alias("low_end"), F.col("x.b.s").alias("high"), F.col("x.b.end").alias("high_end"), F.expr("slice(words, x.a.s - was + 1, x.b.end - x.a.s)").alias("words"))
+        split = todo.join(met, ["run", "low"]).withColumn("p", points).select("run", F.col("low").alias("was"), "words", F.explode(pairs).alias("x"))
+        todo = split.select("run", F.col("x.a.s").alias("low"), F.col("x.a.end").alias("low_end"), F.col("x.b.s").alias("high"), F.col("x.b.end").alias("high_end"), F.expr("slice(words, x.a.s - was + 1, x.b.end - x.a.s)").alias("words"))
 
 
 @scratched
@@ -500,11 +503,15 @@ def score(docs: DataFrame, held_out: Column, block_words: int = 1_000_000, shard
     suffixes = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(sender(shards), "shard int, block long, kind int, blob binary")
     answers = written(suffixes.groupBy("shard").applyInArrow(searcher, "block long, shard int, kind int, blob binary"), "answers")
     said = said.unionByName(answers)
-    out = f"kind int, block long, at long, doc long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, chain boolean, words array<long>, more array<long>"
+    out = f"kind int, block long, at long, doc long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, chain boolean, same binary, words array<long>, more array<long>"
     known = written(rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(resolver(shards, n, v, kind), out), "resolved")
-    runs, segments = known.where("kind = 1"), known.where("kind = 2")
-    done = match_runs(runs, segments, hot)
-    matches = reduce(DataFrame.unionByName, done).where(F.size("len") > 0).groupBy("block", "at").agg(F.collect_list(F.struct("s", "len", "n")).alias("matches"))
-    deep = runs.join(matches, ["block", "at"]).select("block", "doc", "chain", "more", "matches").mapInArrow(run_scores(n, v), "block long, doc long, deep double")
-    scored = known.where("kind = 0").join(deep.groupBy("block", "doc").agg(F.sum("deep").alias("deep")), ["block", "doc"], "left")
+    # what several documents have is matched and scored once
+    runs = known.where("kind = 1").withColumn("run", F.when(F.col("chain"), F.concat(F.lit(b"c"), "same")).otherwise(F.col("same")))
+    once = written(runs.groupBy("run").agg(F.first("chain").alias("chain"), F.first("words").alias("words"), F.first("more").alias("more")), "runs")
+    segments = known.where("kind = 2").groupBy("same").agg(F.first("words").alias("words"), F.first("more").alias("more"), F.count("*").alias("times"))
+    done = match_runs(once, segments, hot)
+    matches = reduce(DataFrame.unionByName, done).where(F.size("len") > 0).groupBy("run").agg(F.collect_list(F.struct("s", "len", "n")).alias("matches"))
+    deep = once.select("run", "chain", "more").join(matches, "run").mapInArrow(run_scores(n, v), "run binary, deep double")
+    deep = runs.select("block", "doc", "run").join(deep, "run").groupBy("block", "doc").agg(F.sum("deep").alias("deep"))
+    scored = known.where("kind = 0").join(deep, ["block", "doc"], "left")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"))

@@ -438,26 +438,26 @@ def run_scores(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
 
 def match_runs(runs: DataFrame, segments: DataFrame, hot: int) -> list[DataFrame]:
     """run, low, s, len, n: for suffixes s of the runs (run, chain, words), as many as it takes, their matches among the segments
-    (same, words, more, times)."""
+    (of, words, more, times)."""
     spark = runs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = lambda words, at=0: F.xxhash64(F.slice(words, F.lit(at) + 1, F.lit(DEPTH)))
-    segments = keyed(segments.withColumn("of", F.xxhash64("same")).repartition(buckets, "of"), "segments", "of", buckets)
-    starts = segments.select("of", "same", F.explode(F.col("more").cast("array<int>")).alias("start"), "words")
-    active = keyed(starts.select(key("words", F.col("start")).alias("key"), "of", "same", "start").repartition(buckets, "key"), "active", "key", buckets)
+    segments = keyed(segments.repartition(buckets, "of"), "segments", "of", buckets)
+    starts = segments.select("of", F.explode(F.col("more").cast("array<int>")).alias("start"), "words")
+    active = keyed(starts.select(key("words", F.col("start")).alias("key"), "of", "start").repartition(buckets, "key"), "active", "key", buckets)
     often = written(active.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts")), "often")
-    text = segments.select("of", "same", F.col("words").alias("text"), F.col("times").alias("n"))
+    text = segments.select("of", F.col("words").alias("text"), F.col("times").alias("n"))
 
     def match(asked: DataFrame) -> DataFrame:
         """asked: run, low, s, words."""
         asked = written(asked.withColumn("key", key("words")).join(often, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "asked")
         wants = asked.groupBy("key").agg(F.max(F.size("words")).alias("want"), F.max("parts").alias("parts"))
-        found = active.join(wants, "key").join(text, ["of", "same"]).select("key", "parts", F.expr("slice(text, start + 1, want)").alias("words"), "n")
+        found = active.join(wants, "key").join(text, "of").select("key", "parts", F.expr("slice(text, start + 1, want)").alias("words"), "n")
         part = F.pmod(F.xxhash64("words"), F.col("parts").cast("long")).cast("int")
         group = F.pmod(F.hash("key", "part"), F.lit(16 * buckets)).alias("group")
         suffixes = found.select("key", part.alias("part"), "words", "n").select(group, "*")
         each = asked.select("run", "low", "s", "words", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(group, "*")
-        out = "run binary, low int, s int, len array<long>, n array<long>"
+        out = "run long, low int, s int, len array<long>, n array<long>"
         return written(suffixes.groupBy("group").cogroup(each.groupBy("group")).applyInArrow(matched, out), "matches")
 
     last = F.when(F.col("chain"), F.lit(0)).otherwise(F.size("words") - DEPTH)
@@ -506,12 +506,13 @@ def score(docs: DataFrame, held_out: Column, block_words: int = 1_000_000, shard
     out = f"kind int, block long, at long, doc long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, chain boolean, same binary, words array<long>, more array<long>"
     known = written(rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(resolver(shards, n, v, kind), out), "resolved")
     # what several documents have is matched and scored once
-    runs = known.where("kind = 1").withColumn("run", F.when(F.col("chain"), F.concat(F.lit(b"c"), "same")).otherwise(F.col("same")))
-    once = written(runs.groupBy("run").agg(F.first("chain").alias("chain"), F.first("words").alias("words"), F.first("more").alias("more")), "runs")
-    segments = known.where("kind = 2").groupBy("same").agg(F.first("words").alias("words"), F.first("more").alias("more"), F.count("*").alias("times"))
+    unique = known.where("kind > 0").groupBy("kind", "chain", "same").agg(F.first("words").alias("words"), F.first("more").alias("more"), F.count("*").alias("times"))
+    unique = written(unique.withColumn("of", F.monotonically_increasing_id()), "unique")
+    once, segments = unique.where("kind = 1").withColumnRenamed("of", "run"), unique.where("kind = 2").select("of", "words", "more", "times")
+    runs = known.where("kind = 1").join(once.select("chain", "same", "run"), ["chain", "same"])
     done = match_runs(once, segments, hot)
     matches = reduce(DataFrame.unionByName, done).where(F.size("len") > 0).groupBy("run").agg(F.collect_list(F.struct("s", "len", "n")).alias("matches"))
-    deep = once.select("run", "chain", "more").join(matches, "run").mapInArrow(run_scores(n, v), "run binary, deep double")
+    deep = once.select("run", "chain", "more").join(matches, "run").mapInArrow(run_scores(n, v), "run long, deep double")
     deep = runs.select("block", "doc", "run").join(deep, "run").groupBy("block", "doc").agg(F.sum("deep").alias("deep"))
     scored = known.where("kind = 0").join(deep, ["block", "doc"], "left")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 4 << 20
 
@@ -72,26 +73,25 @@ def blocks(texts: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> It
         i = j
 
 
-_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """128-bit hashes (XXH3) of binary words, as two columns of 64 bits."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(map(digest, words.to_pylist())), np.uint64).reshape(-1, 2)
 
 
 def word_hashes(b: Block) -> np.ndarray:
-    """64-bit hash of each word's bytes: differences of one running polynomial, brought to a common power, then mixed."""
-    n = len(b.data)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[b.data] * power[:n], out=run[1:])
-    power[1:] = _INVERSE
-    np.multiply.accumulate(power, out=power)
-    return mix64((run[b.end] - run[b.start]) * power[b.start] + (b.end - b.start).astype(np.uint64))
+    """The hashes of all words of a block: each distinct word is hashed once."""
+    ink = np.zeros(len(b.data) + 1, np.int8)
+    ink[b.start] += 1
+    ink[b.end] -= 1
+    offsets = np.concatenate([[0], np.cumsum(b.end - b.start)]).astype(np.int64)
+    letters = b.data[np.cumsum(ink[:-1], dtype=np.int8) > 0]
+    words = pa.Array.from_buffers(pa.large_binary(), len(b.start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return hashes_of(words.dictionary)[words.indices.to_numpy()]
 
 
 def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive words, whatever text they are in: the caller keeps those inside one."""
+    """Hash of each k consecutive words (one column of their hashes), whatever text they are in: the caller keeps those inside one."""
     m = len(words) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)

@@ -1,7 +1,7 @@
 """Benchmark decontamination: exact prefix filter on shingle sets, verified exactly.  DataFrame functions only.
 
 An item is contained in a document if `percent` of its distinct k-word shingles, or more, are among the document's.
-The filter replaces size-partitioned MinHash: `part` takes no part in the search, and documents get no sketch.  An item of
+The filter replaces size-partitioned MinHash, whose recall is below one: documents get no sketch.  An item of
 n shingles keeps the s = n - ceil(percent * n) + 1 least hashes of its set: so many that a containing document must hold one of them, however long it is, because at
 most n - ceil(percent * n) shingles can be missing.  A document looks its shingles up in the sketches (those above the
 largest sketch value are dropped before any join); the pairs found are counted exactly on the full sets.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import scratched, words, written
 from .shingles import shingle_hashes
 
 
@@ -28,6 +28,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+@scratched
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 50, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, key (hash of the document's row), item_id, n_item, n_common (shingles), containment: all pairs that reach `percent`."""
     text = F.col("text")
@@ -37,7 +38,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 50,
     n = F.size("set")
     need = F.ceil(n * percent / 100).cast("int")
     sketch = F.slice(F.sort_array("set"), F.lit(1), n - need + 1)
-    item = written(item.select("item_id", "item_key", "cut", "set", n.alias("n_item"), need.alias("need"), F.floor(F.log2(n)).cast("int").alias("part"), sketch.alias("sketch")), "items")
+    item = written(item.select("item_id", "item_key", "cut", "set", n.alias("n_item"), need.alias("need"), sketch.alias("sketch")), "items")
     top = item.agg(F.max(F.element_at("sketch", -1)).alias("top")).collect()[0]["top"]
     out = "doc_id {}, key long, item_id {}, n_item int, n_common long, containment double".format(dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"])
     if top is None:
@@ -55,7 +56,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 50,
         return d.select("doc_id", "key", F.explode(cells).alias("c")).select("doc_id", "key", "c.cut", F.explode("c.set").alias("h"))
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    sketches = _sized(item.select("part", "cut", "item_key", F.explode("sketch").alias("h")), broadcast_rows)
+    sketches = _sized(item.select("cut", "item_key", F.explode("sketch").alias("h")), broadcast_rows)
     pairs = written(rows_of(keyed, top).join(sketches, ["cut", "h"]).select("key", "item_key").distinct(), "pairs")
     hit = _sized(pairs.select("key").distinct(), broadcast_rows)
     found = keyed.join(hit, "key", "left_semi").dropDuplicates(["key"])
@@ -66,8 +67,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 50,
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
-    """The documents that contain no item."""
-    leaks = contained(docs, items, **options).select("key").distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(leaks, F.col("_key") == leaks["key"], "left_anti").drop("_key")
-
-
+    """The documents that contain no item, with all their columns."""
+    leaks = contained(docs, items, **options).select(F.col("key").alias("leak")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    return own.join(leaks, F.col("key") == F.col("leak"), "left_anti").select("row.*")

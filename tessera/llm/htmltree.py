@@ -18,6 +18,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -25,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Formulas stand in lines of text.
@@ -61,6 +62,7 @@ def parse(source: str) -> Page:
     page = Page([Element("body", "", -1)])
     # the open elements: tag, and its block element (an inline one has that of its parent)
     stack: list[tuple[str, int]] = [("html", 0)]
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = 0
 
@@ -81,9 +83,12 @@ def parse(source: str) -> Page:
         if any(t not in INLINE for t, _ in stack[at:]):
             flush()
         links -= sum(t == "a" for t, _ in stack[at:])
+        open_tags.subtract(t for t, _ in stack[at:])
         del stack[at:]
 
     def innermost(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> int:
+        if not any(open_tags[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
                 return i
@@ -91,9 +96,12 @@ def parse(source: str) -> Page:
                 break
         return 0
 
-    at = 0
+    comment = source.find("<!--", source.rfind("-->") + 1)
+    if comment >= 0:  # it has no end, and hides all that follows
+        source = source[:comment]
+    at, last = 0, source.rfind(">") + 1  # no tag ends past it: what looks like one there is not tried
     while True:
-        m = TOKEN.search(source, at)
+        m = TOKEN.search(source, at, last)
         text = source[at : m.start() if m else len(source)]
         if text:
             parts.append(text)
@@ -120,7 +128,7 @@ def parse(source: str) -> Page:
                     close(i)
                 flush()
             continue
-        if m[3].endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+        if m[3].endswith("/") and (tag in FOREIGN or any(open_tags[t] for t in FOREIGN)):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
@@ -131,6 +139,7 @@ def parse(source: str) -> Page:
             continue
         if tag in INLINE:
             stack.append((tag, stack[-1][1]))
+            open_tags[tag] += 1
             links += tag == "a"
             continue
         if tag in CLOSES_P and (i := innermost({"p"}, SCOPE)):
@@ -145,6 +154,7 @@ def parse(source: str) -> Page:
         names = " ".join("".join(x) for x in NAMES.findall(m[3])) if "=" in m[3] else ""
         page.elements.append(Element(tag, names, stack[-1][1]))
         stack.append((tag, len(page.elements) - 1))
+        open_tags[tag] += 1
     flush()
     return page
 

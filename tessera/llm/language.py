@@ -173,8 +173,14 @@ def fit(docs: DataFrame, per_language: int = 400, spans: int = 2, max_rows: int
 
 
 def identify(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and lang_score, from the column text alone."""
+    """The columns `keep` of docs with lang_pred and lang_score (in place of columns of these names), from the column text alone."""
+    return predicted(docs, net).select(*(F.col("row")[c].alias(c) for c in keep if c not in ("lang_pred", "lang_score")), "lang_pred", "lang_score")
+
+
+def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
+    """row (a struct of all columns of docs), lang_pred, lang_score."""
     if net is None:
-        return docs.select(*keep).withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
-    source = docs.select(F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered"), *keep)
-    return source.mapInArrow(predictor(net), docs.select(*keep).withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema)
+        return docs.select(F.struct("*").alias("row"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+    source = docs.select("text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"), F.struct("*").alias("row"))
+    schema = source.select("row").withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
+    return source.mapInArrow(predictor(net), schema)

@@ -4,11 +4,12 @@ Base spans are the matches of four formats, leftmost and non-overlapping for eac
 address, length and Luhn sum of a card number, length of a phone number).
 
 The bootstrap starts from seed instances: values of a known secret format (`SEED`, long hexadecimal strings) and card
-numbers.  Each value that stands behind a key (`password=`, `token = "`) gives an edge between its lexical pattern (the
-key, in lower case, and its delimiters) and its form (hexadecimal, digits, mixed).  Spark scores both sides in turn: a
-pattern by the mean score of its instances, less for few of them; a form by the mean score of its patterns.  Values
-behind patterns that end at `threshold` or above, and that were seen with `support` distinct values, are identifiers:
-kind `secret`.  Counts cover all documents.
+numbers.  Each value that stands behind a key (`password=`, `token = "`) is an edge between its lexical pattern (the key,
+in lower case, and its delimiters) and the value, the instance.  Spark scores both sides in turn: a pattern by the mean
+score of its instances, less for few of them; an instance by the mean of the other patterns that it stands in or, if it
+has no other, by what instances of its form (hexadecimal, digits, mixed) are worth on the whole.  Values behind patterns
+that end at `threshold` or above, and that were seen with `support` distinct values, are identifiers: kind `secret`.
+Counts cover all documents.
 
 A scored pattern reaches every task as a literal if there are at most LITERALS of them, and by a join otherwise.
 
@@ -130,45 +131,57 @@ def keyed_values(text: Column) -> Column:
 
 
 def pattern_scores(docs: DataFrame, rounds: int = 6) -> DataFrame:
-    """pattern, score, support (distinct values) from the graph of patterns and forms of all documents."""
+    """pattern, score, support (distinct values) from the graph of patterns and instances of all documents."""
     value = F.explode(keyed_values(F.col("text"))).alias("x")
     seen = docs.select(value).select("x.pattern", "x.form", "x.value")
     card = F.when(F.col("value").rlike("^[0-9]{14,19}$"), luhn(F.col("value"))).otherwise(False)
-    by_value = seen.groupBy("pattern", "form", "value").agg(F.count("*").alias("n"))
-    seeds = F.when(F.col("value").rlike(SEED) | card, F.col("n")).otherwise(0)
-    edges = written(by_value.groupBy("pattern", "form").agg(F.sum("n").alias("n"), F.sum(seeds).alias("seeds"), F.count("*").alias("support")), "edges")
-    form = edges.groupBy("form").agg((F.sum("seeds") / F.sum("n")).alias("form_score"))
+    edges = seen.groupBy("pattern", "form", "value").agg(F.count("*").alias("n"))
+    edges = written(edges.withColumn("seed", F.when(F.col("value").rlike(SEED) | card, 1.0).otherwise(0.0)), "edges")
+    by_form = lambda x: x.groupBy("form").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("prior"))
+    weighed = lambda c: (F.sum(F.col("n") * c) / F.sum("n")).alias("prior")
+    prior, scored = edges.groupBy("form").agg(weighed(F.col("seed"))), edges.withColumn("others", F.lit(None).cast("double"))
     for k in range(rounds):
-        # a seed counts 1 whatever its form; the two added make a pattern of few values doubtful
-        scored = edges.join(F.broadcast(form), "form")  # three rows
-        pattern = scored.groupBy("pattern").agg((F.sum(F.col("seeds") + (F.col("n") - F.col("seeds")) * F.col("form_score")) / (F.sum("n") + 2)).alias("score"), F.sum("support").alias("support"))
+        # a seed counts 1; another instance what its other patterns say or, if it has none, what its form is worth
+        belief = scored.join(F.broadcast(prior), "form").withColumn("score", F.greatest("seed", F.coalesce("others", "prior")))  # three rows
+        # the two added make a pattern of few values doubtful
+        pattern = belief.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 2)).alias("score"), F.count("*").alias("support"))
         if k < rounds - 1:
-            form = edges.join(pattern, "pattern").groupBy("form").agg((F.sum(F.col("n") * F.greatest("score", F.col("seeds") / F.col("n"))) / F.sum("n")).alias("form_score"))
-            form = docs.sparkSession.createDataFrame(form.collect(), "form string, form_score double")
+            met = written(edges.join(pattern, "pattern"), "met")
+            prior = met.groupBy("form").agg(weighed(F.greatest("score", "seed")))
+            prior = docs.sparkSession.createDataFrame(prior.collect(), "form string, prior double")
+            total = met.groupBy("value").agg(F.sum("score").alias("total"), F.count("*").alias("patterns")).where("patterns > 1")
+            others = (F.col("total") - F.col("score")) / (F.col("patterns") - 1)
+            scored = met.join(total, "value", "left").select("pattern", "form", "value", "n", "seed", others.alias("others"))
     return pattern
 
 
 def find(docs: DataFrame, threshold: float = 0.5, support: int = 3) -> DataFrame:
-    """docs with two more columns: pii_base and pii, arrays of (start, rank, end, kind) sorted; pii holds the discovered ones too."""
+    """docs with two more columns (in place of columns of these names): pii_base and pii, arrays of (start, rank, end, kind)
+    sorted; pii holds the discovered ones too."""
+    return spotted(docs, threshold, support).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("pii_base", "pii")), "pii_base", "pii")
+
+
+def spotted(docs: DataFrame, threshold: float = 0.5, support: int = 3) -> DataFrame:
+    """row (a struct of all columns of docs), pii_base, pii."""
     good = written(pattern_scores(docs).where((F.col("score") >= threshold) & (F.col("support") >= support)).select("pattern"), "patterns")
     n = good.count()
 
     def free(x: Column) -> Column:
         return ~F.exists(F.col("pii_base"), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
 
-    based = docs.withColumn("pii_base", base_spans(F.col("text")))
+    based = docs.select(F.struct("*").alias("row"), F.col("text"), base_spans(F.col("text")).alias("pii_base"))
     if n <= LITERALS:
         known = F.array(*(F.lit(r["pattern"]) for r in good.collect())).cast("array<string>")
         found = F.filter(keyed_values(F.col("text")), lambda x: F.array_contains(known, x["pattern"])) if n else F.array()
         extra = F.transform(F.filter(found, free), span("secret")) if n else F.array()
         kind = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
-        return based.withColumn("pii", F.sort_array(F.concat(F.col("pii_base"), extra.cast(kind))))
+        return based.select("row", "pii_base", F.sort_array(F.concat(F.col("pii_base"), extra.cast(kind))).alias("pii"))
     key = F.xxhash64("text")
     values = docs.select(key.alias("of"), F.explode(keyed_values(F.col("text"))).alias("x")).join(good, F.col("x.pattern") == good["pattern"], "left_semi")
     extra = values.groupBy("of").agg(F.collect_set("x").alias("found"))
     joined = based.join(extra, key == F.col("of"), "left")
     merged = F.concat(F.col("pii_base"), F.transform(F.filter(F.coalesce("found", F.array()), free), span("secret")))
-    return joined.withColumn("pii", F.sort_array(merged)).drop("of", "found")
+    return joined.select("row", "pii_base", F.sort_array(merged).alias("pii"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

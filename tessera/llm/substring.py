@@ -12,8 +12,8 @@ Compacted edges then meet in Spark: the least coordinate (doc_id, start) of each
 other places, and each document is rewritten once without the words of those windows.
 
 The sets of repeated and of branching anchors reach the tasks as bit maps of at most 32 MB.  A false hit, or a map that
-is full, costs work alone: edges are equal only by their own hashes.  Two different edges are taken as equal with
-probability 2^-64.
+is full, costs work alone: edges are equal only by their own hashes, two of 64 bits each over two independent hashes of the
+words, so that no pair of different edges is taken as equal even among 10^13 of them.
 
 Defined results.  Null text: no words.  Rows with equal doc_id count as the same place: equal rows keep what each would
 keep alone, and unequal texts are compared by start.  A null doc_id comes after all others.  Extra columns are ignored.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Block, blocks, mix64, sequence_hashes, word_hashes
-from .common import written
+from .common import scratched, written
 
 MAX_BITS = 1 << 28
 SHIFT = 128  # a path has fewer windows than this
@@ -58,7 +58,7 @@ def anchor_counts(window: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch
         for batch in batches:
             found = []
             for b in blocks(batch.column(0)):
-                h = word_hashes(b)
+                h = word_hashes(b)[:, 0]
                 _, at, _ = anchored_windows(b, h, window, anchor)
                 found.append(sequence_hashes(h, anchor)[np.unique(at)] if len(at) else np.zeros(0, np.uint64))
             key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -74,18 +74,18 @@ def in_map(bitmap: tuple[int, bytes], anchors: np.ndarray) -> np.ndarray:
 
 
 def paths(b: Block, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Paths of a block: first window, number of windows, anchor, hash of the path's words; and the hashes of all windows."""
-    h = word_hashes(b)
+    """Paths of a block: first window, number of windows, anchor, two hashes of the path's words; and two of all windows."""
+    h, other = word_hashes(b).T
     starts, at, best = anchored_windows(b, h, window, anchor)
-    edges = sequence_hashes(h, window)
+    edges, checks = sequence_hashes(h, window), sequence_hashes(other, window)
     if not len(starts):
-        return starts, starts, best, best, edges
+        return starts, starts, best, best, best, edges, checks
     head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     n = np.diff(np.append(head, len(starts)))
     first = starts[head]
     # the first and the last window cover all words of a path
-    path = mix64(edges[first] * np.uint64(0x9FB21C651E98DF25) + mix64(edges[first + n - 1] + n.astype(np.uint64)))
-    return first, n, best[head], path, edges
+    path, check = (mix64(e[first] * np.uint64(0x9FB21C651E98DF25) + mix64(e[first + n - 1] + n.astype(np.uint64))) for e in (edges, checks))
+    return first, n, best[head], path, check, edges, checks
 
 
 def path_rows(window: int, anchor: int, known: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -95,7 +95,7 @@ def path_rows(window: int, anchor: int, known: object) -> Callable[[Iterator[pa.
         for batch in batches:
             keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for b in blocks(batch.column(0)):
-                _, _, best, path, _ = paths(b, window, anchor)
+                _, _, best, path, *_ = paths(b, window, anchor)
                 hit = in_map(known.value, best)
                 keys.append(best[hit])
                 values.append(path[hit])
@@ -117,19 +117,19 @@ def edge_rows(window: int, anchor: int, known: object) -> Callable[[Iterator[pa.
         for batch in batches:
             doc_id, tag = batch.column(1), batch.column(2)
             for b in blocks(batch.column(0)):
-                first, n, best, path, edges = paths(b, window, anchor)
+                first, n, best, path, check, edges, checks = paths(b, window, anchor)
                 hit = in_map(repeated, best)
                 single = in_map(branching, best[hit])
-                first, n, path = first[hit], n[hit], path[hit]
+                first, n, path, check = first[hit], n[hit], path[hit], check[hit]
                 some, count = first[single], n[single]
                 windows = np.repeat(some, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 start = np.concatenate([first[~single], windows])
-                edge = np.concatenate([path[~single], edges[windows]]).view(np.int64)
+                edge, check = (np.concatenate([p[~single], e[windows]]).view(np.int64) for p, e in ((path, edges), (check, checks)))
                 n = np.concatenate([n[~single], np.ones(len(windows), np.int64)]).astype(np.int8)
                 if len(start):
                     doc = b.doc[start]
                     row = pa.array(doc + b.first)
-                    yield pa.record_batch([pa.array(edge), doc_id.take(row), tag.take(row), pa.array((start - b.word0[doc]).astype(np.int32)), pa.array(n)], ["edge", "doc_id", "tag", "start", "n"])
+                    yield pa.record_batch([pa.array(edge), pa.array(check), doc_id.take(row), tag.take(row), pa.array((start - b.word0[doc]).astype(np.int32)), pa.array(n)], ["edge", "check", "doc_id", "tag", "start", "n"])
 
     return run
 
@@ -194,12 +194,13 @@ def repeated_edges(docs: DataFrame, window: int = 20, anchor: int = 10) -> DataF
     on = keyed.select("text").mapInArrow(path_rows(window, anchor, context.broadcast(repeated)), "anchor long, low long, high long")
     branching = bitmap_of(written(on.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor"), "branching"))
     kind = dict(docs.dtypes)["doc_id"]
-    edges = keyed.mapInArrow(edge_rows(window, anchor, context.broadcast((repeated, branching))), f"edge long, doc_id {kind}, tag int, start int, n byte")
+    edges = keyed.mapInArrow(edge_rows(window, anchor, context.broadcast((repeated, branching))), f"edge long, check long, doc_id {kind}, tag int, start int, n byte")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    source = edges.groupBy("edge").agg(F.min(place).alias("source"), F.count("*").alias("times")).where("times > 1").select(F.col("edge").alias("of"), "source")
-    return edges.join(source, F.col("edge") == F.col("of")).where(F.col("source") < place).select("doc_id", "tag", "start", "n")
+    source = edges.groupBy("edge", "check").agg(F.min(place).alias("source"), F.count("*").alias("times")).where("times > 1").select(F.col("edge").alias("of"), F.col("check").alias("of_check"), "source")
+    return edges.join(source, (F.col("edge") == F.col("of")) & (F.col("check") == F.col("of_check"))).where(F.col("source") < place).select("doc_id", "tag", "start", "n")
 
 
+@scratched
 def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 10, text: bool = True) -> DataFrame:
     """Each document (doc_id, n_words, n_removed, kept: its kept words joined by one space, kept_sha256) without repeated windows.  text=False: kept is null."""
     per_doc = repeated_edges(docs, window, anchor).groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_set(F.col("start").cast("long") * SHIFT + F.col("n")).alias("starts"))

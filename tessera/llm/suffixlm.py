@@ -37,7 +37,6 @@ import struct
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import reduce
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .bytewords import blocks, mix64, word_hashes
+from .bytewords import blocks, hashes_of, mix64
 from .common import keyed, scratched, written
 
 STRENGTH, LEAST = 200.0, 0.05
@@ -106,9 +105,7 @@ def encoder(block_words: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]
             order = np.argsort(-np.bincount(codes, minlength=len(spelt)), kind="stable")
             codes, spelt = np.argsort(order)[codes], spelt.take(pa.array(order))
             n = np.bincount(codes[np.repeat(~out, n_words + 1)], minlength=len(spelt))
-            off = np.frombuffer(spelt.buffers()[1], np.int64, len(spelt) + 1)
-            letters = np.frombuffer(spelt.buffers()[2], np.uint8) if spelt.buffers()[2] else np.zeros(0, np.uint8)
-            shard = (word_hashes(SimpleNamespace(data=letters, start=off[:-1], end=off[1:])) % np.uint64(shards)).astype(np.int64)
+            shard = (hashes_of(spelt)[:, 0] % np.uint64(shards)).astype(np.int64)
             sent = []
             for s in np.unique(shard).tolist():
                 mine = np.flatnonzero(shard == s)
@@ -130,9 +127,9 @@ def encoder(block_words: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]
             for b in blocks(batch.column(0), lower=True):
                 lens = b.end - b.start
                 ink = np.zeros(len(b.data) + 1, np.int8)
-                np.add.at(ink, b.start, 1)
-                np.add.at(ink, b.end, -1)
-                block.append((b.data[np.cumsum(ink[:-1]) > 0], lens, b.n_words))
+                ink[b.start] += 1
+                ink[b.end] -= 1
+                block.append((b.data[np.cumsum(ink[:-1], dtype=np.int8) > 0], lens, b.n_words))
                 held.append(flags[b.first : b.first + len(b.n_words)])
                 ids.append(batch.column(1).slice(b.first, len(b.n_words)))
                 size += len(lens) + len(b.n_words)

@@ -129,7 +129,7 @@ def counter(pieces: dict[str, float], byte: float) -> Callable[[Iterator[pa.Reco
             hashes, texts, doc, n_words, counts = [], [], [], [], []
             known: np.ndarray = np.zeros(0, np.uint64)
             for b in blocks(batch.column(0)):
-                h, first, of = np.unique(word_hashes(b), return_index=True, return_inverse=True)
+                h, first, of = np.unique(word_hashes(b)[:, 0], return_index=True, return_inverse=True)
                 new = first[~np.isin(h, known)]
                 data = b.data.tobytes()
                 texts += [MARK + data[s:e].decode() for s, e in zip(b.start[new].tolist(), b.end[new].tolist(), strict=True)]

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -75,3 +76,11 @@ def test_elements_whose_text_stays():
     assert whole("<map name=m><area><p>Words in the map, to be kept with it.</p></map>") == [first, "Words in the map, to be kept with it.", last]
     nested = parse("<div><svg/><p>a</p></div>").elements
     assert [e.tag for e in nested] == ["body", "div", "p"]
+
+
+def test_a_megabyte_of_odd_markup_takes_seconds():
+    for source in ("<a " * 330_000, "<div>" * 200_000, '<a "' * 250_000, "<a " * 200_000 + "'>", "<!-- x " * 140_000, "<b>" * 200_000 + "</i>" * 100_000):
+        began = time.process_time()
+        parse(source)
+        assert time.process_time() - began < 15, source[:9]
+    assert [t for _, t in parse("<p>ok</p><!-- a <p>gone</p>").blocks] == ["ok"]

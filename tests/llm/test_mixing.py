@@ -1,4 +1,9 @@
+import itertools
+import random
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.mixing import min_cost_flow, mix, targets_by_weight
 from tessera.llm.queries import op3_source_mixing
@@ -41,3 +46,52 @@ def test_edges(spark):
     assert mix(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         mix(df, max_patterns=1)
+
+
+def test_flow_against_all_flows():
+    rng = random.Random(4)
+    for _ in range(25):
+        supply = {("a",): rng.randrange(1, 3), ("a", "b"): rng.randrange(1, 3), ("b", "c"): rng.randrange(0, 2)}
+        targets = {s: float(rng.randrange(0, 4)) for s in "abc"}
+        edges = [(k, s) for k in supply for s in k]
+        best = None
+        for flow in itertools.product(*(range(2 * supply[k] + 1) for k, _ in edges)):
+            by, into = Counter(), Counter()
+            for (k, s), f in zip(edges, flow, strict=True):
+                by[k] += f
+                into[s] += f
+            if all(by[k] <= 2 * supply[k] for k in supply) and all(into[s] <= targets[s] for s in targets):
+                cost = sum(max(0, by[k] - supply[k]) for k in supply)
+                best = max(best or (-1, 0), (sum(flow), -cost))
+        got = min_cost_flow(supply, targets, 2)
+        words = {k: sum(v.values()) for k, v in got.items()}
+        assert (sum(words.values()), -sum(max(0, words[k] - supply[k]) for k in supply)) == best
+
+
+def test_mix_against_a_plain_one(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randrange(9)), rng.choice([["a"], ["b"], ["a", "b"], [None], ["c"]])) for i in range(80)] + [(80, None, ["a"]), (81, "", ["b"])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, sources array<string>, size int")
+    place = {r["doc_id"]: r["b"] for r in df.select("doc_id", F.pmod(F.xxhash64(F.xxhash64("doc_id", "text"), F.lit(1)), F.lit(1 << 16)).alias("b")).collect()}
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    pattern = {i: tuple(s) for i, _, s in rows}
+    supply, sizes = Counter(), Counter()
+    for i, _, s in rows:
+        supply[tuple(s)] += size[i]
+        for x in s:
+            sizes[x] += size[i]
+    target = targets_by_weight(dict(sizes))
+    flow = min_cost_flow(dict(sorted(supply.items(), key=lambda x: [(s is None, s or "") for s in x[0]])), target, 2)
+    want = {}
+    for k, n in supply.items():
+        full, rest = divmod(sum(flow[k].values()), n)
+        mine = sorted((place[i], i) for i in size if pattern[i] == k)
+        last = -1
+        for b in sorted({p for p, _ in mine}):
+            upto = sum(size[i] for p, i in mine if p <= b)
+            if upto - sum(size[i] for p, i in mine if p == b) / 2 <= rest:
+                last = b
+        for p, i in mine:
+            want[i] = (size[i], sizes[k[0]], pytest.approx(target[k[0]]), size[i] * (full + (rest > 0 and p <= last)))
+    got = {r["doc_id"]: (r["size"], r["source_size"], r["target"], r["taken"]) for r in mix(df).collect()}
+    assert got == want

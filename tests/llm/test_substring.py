@@ -49,3 +49,19 @@ def test_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).collect() == []
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, " ".join([a] + ["x"] * 19)), (2, " ".join([b] + ["x"] * 19)), (3, " ".join(["x"] * 19 + [a]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_very_long_text(spark):
+    w = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(["new", *w[10_000:], *w[:10_000]]))]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 30_000, 0), (2, 30_001, 30_000)]

@@ -72,3 +72,11 @@ def min_size(marked: DataFrame, config: SegmentationConfig = SegmentationConfig(
         return found.withColumnRenamed("gaps", "kept")
     step = lambda acc, g: F.when((F.size(acc) == 0) | (g - F.element_at(acc, -1) >= least), F.concat(acc, F.array(g))).otherwise(acc)
     return found.select(id_col, F.aggregate("gaps", F.array().cast("array<int>"), step).alias("kept"))
+
+
+def spaced(marked: DataFrame, config: SegmentationConfig = SegmentationConfig(), id_col: str = "doc_id") -> DataFrame:
+    """marked with those boundaries alone that leave segments of min_sentences or more."""
+    if not config.min_sentences // config.block:
+        return marked
+    kept = min_size(marked, config, id_col)
+    return marked.join(kept, id_col, "left").withColumn("is_boundary", F.coalesce(F.array_contains("kept", F.col("gap")), F.lit(False))).drop("kept")

@@ -81,7 +81,7 @@ class Retina:
 
     def similar_words(self, word: str, k: int) -> DataFrame:
         q = self._query(word, self.positions(word))
-        return index.two_phase(q, self.postings, k) if self.postings is not None else self.scan(q, k, stopwords=0.35).where(F.col("word") != word)
+        return index.two_phase(q, self.word_fp, k) if self.postings is not None else self.scan(q, k, stopwords=0.35).where(F.col("word") != word)
 
     def similar_to(self, positions: list[int], k: int) -> DataFrame:
         return self.scan(self._query("", positions), k)
@@ -89,14 +89,14 @@ class Retina:
     def similar_indexed(self, positions: list[int], k: int) -> DataFrame:
         if self.postings is None:
             raise NoIndex("the model has no postings")
-        return index.two_phase(self._query("", positions), self.postings, k, pool=2)
+        return index.two_phase(self._query("", positions), self.word_fp, k, pool=2)
 
     def scan(self, query: DataFrame, k: int, stopwords: float | None = None) -> DataFrame:
         """Exact neighbours; words whose stopword score reaches the limit are left out."""
         words = self.word_fp
         if stopwords is not None:
             words = words.join(fp.stopword_scores(words).where(F.col("score") < stopwords), "word", "left_semi")
-        return index.nearest(query, index.postings(words), k)
+        return index.nearest(query, words, k)
 
     def center(self, words: list[str]) -> list[int]:
         """Positions of more than half of the words asked for, known or not."""
@@ -129,5 +129,5 @@ class Retina:
         prints = fp.text_fingerprints(units.select(key.alias("u"), F.col("sentence").alias("text")), self.word_fp, "weighted", self.config.max_active_bits, "u")
         with_fp = units.withColumn("u", key).join(prints, "u", "left").select("doc_id", "idx", F.coalesce("positions", sdr.empty()).alias("positions"))
         g = segment.gaps(segment.blocks(with_fp, config.block))
-        marked = segment.boundaries(segment.smoothed(segment.depths(g), config.sigma), config)
+        marked = segment.spaced(segment.boundaries(segment.smoothed(segment.depths(g), config.sigma), config), config)
         return segment.segments(units, marked, config.block)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .config import SegmentationConfig
 from .functions import grid as G
 from .functions import hdc, sdr
 from .functions import text as T
@@ -18,7 +19,7 @@ from .operators import lookup as lk
 from .operators import lsh
 from .operators import segment as sg
 from .operators import vectors as V
-from .sources.tables import table
+from .sources.tables import stored, table
 
 DIM, GRID, WORD_BITS, TEXT_BITS, PLANES = 128, 16384, 40, 100, VF.hyperplanes(64, 16)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,7 +173,8 @@ def md5int(x: str) -> str:
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return fp.word_fingerprints(fp.context_hits(table(spark, d, "documents"), GRID), WORD_BITS)
+    """The word fingerprints of the documents: the model of most queries, made once in a session (~34 s at sf0.1)."""
+    return stored(spark, "vocabulary", d, lambda: fp.word_fingerprints(fp.context_hits(table(spark, d, "documents"), GRID), WORD_BITS))
 
 
 HITS = f"tok AS {toks('documents', 'doc_id')}, win AS (SELECT toks[i] AS word, unnest(list_concat(toks[greatest(i - 2, 1):i - 1], toks[i + 1:i + 2])) AS c FROM (SELECT toks, unnest(range(1, len(toks) + 1)) AS i FROM tok)), hits AS (SELECT word, ({md5int('c')} % {GRID})::INT AS position, count(*) AS n FROM win GROUP BY ALL)"
@@ -322,18 +324,18 @@ def item_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_PROBE} SELECT * FROM (SELECT item_id AS query, word, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, word)::INT AS rank FROM hit) WHERE rank <= 10")
 def probe_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return ix.probe_top_k(item_queries(spark, d), ix.postings(vocabulary(spark, d)), 10)
+    return ix.probe_top_k(item_queries(spark, d), vocabulary(spark, d), 10)
 
 
 @query(f"{_PROBE}, s AS (SELECT item_id AS query, word, round(overlap / sqrt(nq * nw), 9) AS similarity FROM hit JOIN nq USING (item_id) JOIN card USING (word)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, word)::INT AS rank FROM s) WHERE rank <= 10")
 def nearest_words(spark: SparkSession, d: str) -> DataFrame:
-    return ix.nearest(item_queries(spark, d), ix.postings(vocabulary(spark, d)), 10)
+    return ix.nearest(item_queries(spark, d), vocabulary(spark, d), 10)
 
 
 @query(f"{_PROBE}, c AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, word) AS r FROM hit), s AS (SELECT item_id AS query, word, round(overlap / sqrt(nq * nw), 9) AS similarity FROM c JOIN nq USING (item_id) JOIN card USING (word) WHERE r <= 100) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, word)::INT AS rank FROM s) WHERE rank <= 10")
 def two_phase_words(spark: SparkSession, d: str) -> DataFrame:
     q = item_queries(spark, d).withColumn("query", F.col("query").cast("string"))
-    return ix.two_phase(q, ix.postings(vocabulary(spark, d)), 10).withColumn("query", F.col("query").cast("long"))
+    return ix.two_phase(q, vocabulary(spark, d), 10).withColumn("query", F.col("query").cast("long"))
 
 
 @query(f"{_PROBE.replace(', hit AS', ', unused AS')}, i AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS i FROM fpt a JOIN fpt b ON a.position = b.position AND a.item_id < b.item_id GROUP BY ALL) SELECT a, b, round(i / (x.nq + y.nq - i), 9) AS similarity FROM i JOIN nq x ON x.item_id = a JOIN nq y ON y.item_id = b WHERE round(i / (x.nq + y.nq - i), 9) >= 0.1")
@@ -402,9 +404,14 @@ def segment_smoothed(spark: SparkSession, d: str) -> DataFrame:
     return sg.smoothed(sg.depths(line_gaps(spark, d)), 1.0).select("doc_id", "gap", "smooth")
 
 
-@query()
+@query(
+    f"WITH {_LINES}, {_DEPTH}, {_SMOOTH}, bd AS (SELECT doc_id, gap FROM (SELECT *, round(avg(smooth) OVER p + 0.5 * stddev_pop(smooth) OVER p, 6) AS least FROM sm WINDOW p AS (PARTITION BY doc_id)) WHERE smooth > least),"
+    " kp AS (SELECT doc_id, unnest(list_reduce(list_transform(list(gap ORDER BY gap), lambda g: [g]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= 2 THEN list_concat(a, x) ELSE a END)) AS gap FROM bd GROUP BY doc_id),"
+    " cut AS (SELECT ln.doc_id, ln.idx, ln.text, count(kp.gap) OVER (PARTITION BY ln.doc_id ORDER BY ln.idx) AS segment FROM ln LEFT JOIN kp ON kp.doc_id = ln.doc_id AND (kp.gap + 1) * 3 = ln.idx)"
+    " SELECT doc_id, segment::INT AS segment, min(idx)::INT AS first, max(idx)::INT AS last, string_agg(text, ' ' ORDER BY idx) AS text FROM cut GROUP BY doc_id, segment"
+)
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    marked = sg.boundaries(sg.smoothed(sg.depths(line_gaps(spark, d)), 1.0))
+    marked = sg.spaced(sg.boundaries(sg.smoothed(sg.depths(line_gaps(spark, d)), 1.0)), SegmentationConfig(min_sentences=6))
     return sg.segments(doc_lines(spark, d), marked, 3)
 
 

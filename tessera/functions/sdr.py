@@ -117,6 +117,40 @@ def is_subset(a: Column, b: Column) -> Column:
     return overlap_count(a, b) == F.size(a)
 
 
+def is_superset(a: Column, b: Column) -> Column:
+    return is_subset(b, a)
+
+
+def is_empty(a: Column) -> Column:
+    return F.size(a) == 0
+
+
+def is_full(a: Column, grid: int) -> Column:
+    return F.size(a) == grid
+
+
+def contains_range(a: Column, start: int, end: int) -> Column:
+    """Are all places from start to end - 1 active (an empty range: yes)."""
+    return range_cardinality(a, start, end) == max(0, end - start)
+
+
+def remove_smallest(a: Column, n: int) -> Column:
+    return F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
+
+
+def remove_biggest(a: Column, n: int) -> Column:
+    return F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
+
+
+def from_lsb0_bytes(data: Column, offset: int = 0) -> Column:
+    """Places of the bits that are set, the least bit of a byte first, from place `offset` on."""
+    ones = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(1 << i).alias("one")) for i in range(8)))
+    bits = lambda k, b: F.transform(F.filter(ones, lambda x: b.bitwiseAND(x["one"]) != 0), lambda x: (k * 8 + x["i"] + offset).cast("int"))
+    byte = lambda h, k: F.conv(F.substring(h, k * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    every = let(F.hex(data), lambda h: F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda k: let(byte(h, k), lambda b: bits(k, b))))
+    return F.when(F.octet_length(data) > 0, F.flatten(every)).otherwise(empty())
+
+
 def is_disjoint(a: Column, b: Column) -> Column:
     return ~F.arrays_overlap(a, b)
 

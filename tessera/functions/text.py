@@ -48,6 +48,16 @@ def context_windows(toks: Column, half: int) -> Column:
     return let(toks, windows)
 
 
+def tokens_by_sentence(sentences: Column, config: TextConfig = TextConfig()) -> Column:
+    """The tokens of each sentence of an array of them."""
+    return F.transform(sentences, lambda s: tokens(s, config))
+
+
+def sentence_windows(sentences: Column, half: int, config: TextConfig = TextConfig()) -> Column:
+    """Context windows that do not go past a sentence, of all sentences in order."""
+    return F.flatten(F.transform(sentences, lambda s: context_windows(tokens(s, config), half)))
+
+
 def ngrams(toks: Column, n: int) -> Column:
     def grams(all_: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(all_) - n + 1), lambda i: F.array_join(F.slice(all_, i, F.lit(n)), " "))

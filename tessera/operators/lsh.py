@@ -58,6 +58,11 @@ def bit_sample(positions: Column, places: list[int]) -> Column:
     return total
 
 
+def bit_sample_words(positions: Column, places: list[int], word: int = 32) -> Column:
+    """The same for any number of places, as an array of numbers of `word` bits each."""
+    return F.array(*(bit_sample(positions, places[i : i + word]) for i in range(0, len(places), word)))
+
+
 def multiprobe(hashes: DataFrame, queries: DataFrame, probes: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
     """(query, id): rows whose hash equals a query's, or differs in one of its first `probes` bits."""
     ways = F.concat(F.array(F.col(hash_col)), F.array(*(F.col(hash_col).bitwiseXOR(F.lit(1 << i)) for i in range(probes))))

@@ -53,6 +53,26 @@ def assign_units(vectors: DataFrame, weights: np.ndarray, id_col: str, vec_col:
     return out.withColumnRenamed("id", id_col)
 
 
+def k_nearest_units(vectors: DataFrame, weights: np.ndarray, k: int, id_col: str, vec_col: str) -> DataFrame:
+    """(id, rank, unit, distance): the k nearest units of each vector, nearest first (ties: the smaller unit)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights))  # a map: fixed by the grid
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part = b.slice(at, 512)
+                x = _matrix(part.column(1))
+                d = np.sqrt(np.maximum(((x[:, None, :] - w[None, :, :]) ** 2).sum(2), 0)) if len(w) <= 1024 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * x @ w.T, 0))
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                m = order.shape[1]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(part)), m)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(part))), pa.array(order.ravel().astype(np.int32)), pa.array(np.take_along_axis(d, order, 1).ravel())], ["id", "rank", "unit", "distance"])
+
+    out = vectors.select(id_col, F.col(vec_col).cast("array<double>")).mapInArrow(run, f"id {dict(vectors.dtypes)[id_col]}, rank int, unit int, distance double")
+    return out.withColumnRenamed("id", id_col)
+
+
 def neighbourhood(dim: int, radius: float, toroidal: bool = True) -> np.ndarray:
     """Weights exp(-d^2 / 2r^2) between all units of a grid, 0 beyond three radii."""
     i = np.arange(dim)

@@ -76,7 +76,10 @@ for _name, _column, _sql in (
     ("sdr_overlap_similarity", lambda a, b: F.round(sdr.overlap_similarity(a, b), 9), measure("overlap")),
     ("sdr_distance", lambda a, b: F.round(sdr.distance("cosine", a, b), 9), f"round(1 - {measure('cosine')}, 9)"),
     ("sdr_hamming", lambda a, b: sdr.hamming(a, b), "(len(a) + len(b) - 2 * len(i))::INT"),
-    ("sdr_subset_disjoint", lambda a, b: F.concat(sdr.is_subset(sdr.overlap(a, b), b).cast("string"), sdr.is_disjoint(a, b).cast("string")), "'true' || (len(i) = 0)::VARCHAR"),
+    ("sdr_subset_disjoint", lambda a, b: F.concat(sdr.is_subset(F.slice(a, 1, 1), b).cast("string"), sdr.is_disjoint(a, b).cast("string")), "list_has_all(b, a[1:1])::VARCHAR || (len(i) = 0)::VARCHAR"),
+    ("sdr_predicates", lambda a, b: F.concat_ws(":", sdr.is_superset(b, F.slice(a, 1, 2)).cast("string"), sdr.is_empty(sdr.overlap(a, b)).cast("string"), sdr.is_full(a, GRID).cast("string"), sdr.contains_range(sdr.insert_range(a, 100, 105), 101, 106).cast("string")), f"concat_ws(':', list_has_all(b, a[1:2])::VARCHAR, (len(i) = 0)::VARCHAR, (len(a) = {GRID})::VARCHAR, list_contains(a, 105)::VARCHAR)"),
+    ("sdr_remove_ends", lambda a, b: F.concat_ws("|", text_of(sdr.remove_smallest(a, 2)), text_of(sdr.remove_biggest(b, 1))), join_list("a[3:]") + " || '|' || " + join_list("b[1:len(b) - 1]")),
+    ("sdr_bytes", lambda a, b: text_of(sdr.from_lsb0_bytes(F.unhex(sdr.to_hex(F.filter(a, lambda p: p < 512), 512)), 7)), join_list("list_transform(list_filter(a, lambda x: x < 512), lambda x: x + 7)")),
     ("sdr_sparsify", lambda a, b: text_of(sdr.sparsify(sdr.union(a, b), 10)), join_list("list_sort(list_distinct(list_concat(a, b)))[1:10]")),
     ("sdr_insert_remove", lambda a, b: text_of(sdr.remove(sdr.insert(a, 77, GRID), 5)), join_list("list_filter(list_sort(list_distinct(list_append(a, 77))), lambda x: x <> 5)")),
     ("sdr_rank_select", lambda a, b: F.concat_ws(":", sdr.rank(a, 1000).cast("string"), sdr.select(a, 2).cast("string"), sdr.minimum(a).cast("string"), sdr.maximum(a).cast("string")), "concat_ws(':', len(list_filter(a, lambda x: x <= 1000)), a[3], a[1], a[len(a)])"),
@@ -378,6 +381,13 @@ def smoothed_similarity(spark: SparkSession, d: str) -> DataFrame:
     return lk.smoothed_similarity(p, c, DIM).where("similarity > 0")
 
 
+@query(f"WITH {WORDS}, p AS (SELECT position, word FROM fpl WHERE NOT starts_with(word, 'a') UNION ALL SELECT unnest([3, 5, 77]), 'new word') SELECT position::INT AS position, count(*) AS n, min(word) AS least FROM p GROUP BY position")
+def postings_update(spark: SparkSession, d: str) -> DataFrame:
+    v = vocabulary(spark, d)
+    new = spark.createDataFrame([("new word", [3, 5, 77])], "word string, positions array<int>")
+    return ix.insert(ix.remove(ix.postings(v), v.where(F.col("word").startswith("a"))), new).groupBy("position").agg(F.count("*").alias("n"), F.min("word").alias("least"))
+
+
 # segmentation: lines of documents, each the set of its words' places
 _LINES = f"ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS idx FROM documents), lt AS {toks('ln', 'doc_id, idx')}, pos AS (SELECT doc_id, idx // 3 AS b, {md5int('t')} % {GRID} AS p FROM (SELECT doc_id, idx, unnest(toks) AS t FROM lt)), full3 AS (SELECT doc_id, idx // 3 AS b FROM ln GROUP BY ALL HAVING count(*) = 3), bl AS (SELECT f.doc_id, f.b, list_distinct(list(p) FILTER (p IS NOT NULL)) AS s FROM full3 f LEFT JOIN pos USING (doc_id, b) GROUP BY ALL), nx AS (SELECT *, lead(s) OVER w AS t FROM bl WINDOW w AS (PARTITION BY doc_id ORDER BY b)), gap AS (SELECT doc_id, b::INT AS gap, coalesce(round(CASE WHEN len(s) * len(t) > 0 THEN len(list_intersect(s, t)) / sqrt(len(s) * len(t)) END, 6), 0) AS similarity FROM nx WHERE t IS NOT NULL OR b < (SELECT max(b) FROM full3 z WHERE z.doc_id = nx.doc_id))"
 _DEPTH = "dep AS (SELECT *, round(max(similarity) OVER (PARTITION BY doc_id ORDER BY gap) + max(similarity) OVER (PARTITION BY doc_id ORDER BY gap DESC) - 2 * similarity, 6) AS depth FROM gap)"
@@ -415,6 +425,13 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return sg.segments(doc_lines(spark, d), marked, 3)
 
 
+@query(f"WITH {_LINES.split(', pos AS')[0]} SELECT toks[i + 1] AS center, count(*) AS n, sum(len(list_concat(toks[greatest(i - 1, 1):i], toks[i + 2:i + 3])))::BIGINT AS near FROM (SELECT *, unnest(range(0, len(toks))) AS i FROM lt) GROUP BY center")
+def sentence_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows within the lines of documents: how many a word has, and how many neighbours in all."""
+    w = table(spark, d, "documents").select(F.explode(T.sentence_windows(F.split(F.coalesce("text", F.lit("")), "\n"), 2)).alias("w"))
+    return w.groupBy(F.col("w.center").alias("center")).agg(F.count("*").alias("n"), F.sum(F.size("w.context")).alias("near"))
+
+
 # hypervectors of users' event sequences
 _BITS, _HDIM, _MOST = 20, 128, 8
 _SEQ = f"WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e WHERE i <= {_MOST}), it AS (SELECT DISTINCT event_type, {md5int('event_type || chr(58) || b::VARCHAR')} % {_HDIM} AS p FROM (SELECT DISTINCT event_type FROM events), range({_BITS}) t(b))"
@@ -432,6 +449,29 @@ def hdc_sequence(spark: SparkSession, d: str) -> DataFrame:
     return out.where("value <> ''")
 
 
+@query(
+    f"{_SEQ}, v AS (SELECT user_id, any_value(n) AS n, (p + n - i) % {_HDIM} AS p, count(*) AS c FROM f JOIN it USING (event_type) GROUP BY user_id, (p + n - i) % {_HDIM}), enc AS (SELECT user_id, p, count(*) OVER (PARTITION BY user_id) AS ne FROM v WHERE c >= ceil(n * 0.5)),"
+    f" item AS (SELECT event_type AS name, p, count(*) OVER (PARTITION BY event_type) AS nm FROM it), hit AS (SELECT user_id, name, pos::INT AS pos, count(*) / least(any_value(ne), any_value(nm)) AS s FROM enc, range({_MOST}) t(pos), item WHERE item.p = (enc.p - pos + {_HDIM}) % {_HDIM} GROUP BY user_id, name, pos) SELECT user_id, name, pos, round(s, 9) AS similarity FROM hit WHERE s > 0.6"
+)
+def hdc_decode(spark: SparkSession, d: str) -> DataFrame:
+    encoded = sequences(spark, d).select("user_id", hdc.encode_sequence(F.col("items"), _HDIM, _BITS, _MOST).alias("positions"))
+    memory = table(spark, d, "events").select(F.col("event_type").alias("name")).distinct().withColumn("positions", hdc.random(F.col("name"), _HDIM, _BITS))
+    return hdc.decode_sequences(encoded, "user_id", memory, _MOST, _HDIM, 0.6).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    f"WITH {CUST}, t AS (SELECT id - o AS query, id, unnest(positions) AS p FROM cust, range(3) r(o) WHERE (id - o) % 50 = 0), q AS (SELECT query, p FROM t GROUP BY ALL HAVING count(*) % 2 = 1), whole AS (SELECT query FROM t GROUP BY 1 HAVING count(DISTINCT id) = 3),"
+    " nq AS (SELECT query, count(*) AS nq FROM q GROUP BY 1), m AS (SELECT id, len(positions) AS nm, unnest(positions) AS p FROM cust), s AS (SELECT query, id AS name, count(*) / least(any_value(nq), any_value(nm)) AS similarity FROM q JOIN whole USING (query) JOIN nq USING (query) JOIN m USING (p) GROUP BY ALL)"
+    " SELECT * FROM (SELECT query, name, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, name)::INT AS rank FROM s) WHERE rank <= 5"
+)
+def hdc_analogy(spark: SparkSession, d: str) -> DataFrame:
+    """Customer id is to id + 1 as id + 2 is to whom, for every 50th customer."""
+    c = customers(spark, d)
+    other = lambda o, name: c.select((F.col("id") - o).alias("query"), F.col("positions").alias(name))
+    asked = other(0, "a").where("query % 50 = 0").join(other(1, "b"), "query").join(other(2, "c"), "query")
+    return hdc.solve(asked, c.withColumnRenamed("id", "name"))
+
+
 @query(f"{_SEQ}, v AS (SELECT user_id, (p + i - 1) % {_HDIM} AS p, count(*) AS c FROM f JOIN it USING (event_type) WHERE i <= 3 GROUP BY user_id, (p + i - 1) % {_HDIM}) SELECT user_id, string_agg(p, ',' ORDER BY p) AS value FROM v WHERE c % 2 = 1 GROUP BY user_id")
 def hdc_ngram(spark: SparkSession, d: str) -> DataFrame:
     return sequences(spark, d).select("user_id", text_of(hdc.encode_ngram(F.slice("items", 1, 3), _HDIM, _BITS)).alias("value"))
@@ -506,6 +546,15 @@ def bit_sampling(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select("id", lsh.bit_sample(F.col("positions"), _PLACES).alias("hash"))
 
 
+_WIDE = lsh.sampled_places(GRID, 96, 7)
+_BIT = lambda places: " + ".join(f"CASE WHEN list_contains(positions, {p}) THEN {1 << i} ELSE 0 END" for i, p in enumerate(places))
+
+
+@query(f"WITH {CUST} SELECT id, concat_ws(',', {', '.join(_BIT(_WIDE[i:i + 32]) for i in range(0, 96, 32))}) AS hash FROM cust")
+def bit_sampling_words(spark: SparkSession, d: str) -> DataFrame:
+    return customers(spark, d).select("id", text_of(lsh.bit_sample_words(F.col("positions"), _WIDE)).alias("hash"))
+
+
 def _dot(planes: list[float]) -> str:
     return f"list_inner_product(v, {planes}::DOUBLE[])"
 
@@ -550,6 +599,13 @@ def bmu_assign(spark: SparkSession, d: str) -> DataFrame:
     return V.assign_units(table(spark, d, "embeddings"), np.array(_UNITS), "vec_id", "embedding")
 
 
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), w(unit, w) AS (VALUES " + ", ".join(f"({u}, {w}::DOUBLE[])" for u, w in enumerate(_UNITS)) + ") SELECT vec_id, rank, unit, round(distance, 6) AS distance FROM (SELECT vec_id, unit::INT AS unit, list_distance(v, w) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, w), unit)::INT AS rank FROM e, w) WHERE rank <= 3")
+def k_nearest_units(spark: SparkSession, d: str) -> DataFrame:
+    import numpy as np
+
+    return V.k_nearest_units(table(spark, d, "embeddings"), np.array(_UNITS), 3, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
 _BOOKS = [[[round(VF.gaussian("pq", m, k, i) / 8, 6) for i in range(8)] for k in range(8)] for m in range(8)]
 _CODES = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), b(m, k, c) AS (VALUES " + ", ".join(f"({m}, {k}, {c}::DOUBLE[])" for m, book in enumerate(_BOOKS) for k, c in enumerate(book)) + "), code AS (SELECT vec_id, m, arg_min(k, list_distance(v[m * 8 + 1:m * 8 + 8], c)) AS k FROM e, b GROUP BY ALL)"
 

@@ -37,6 +37,7 @@ import struct
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -353,12 +354,12 @@ def resolver(shards: int, n: int, v: int, doc_id: DataType) -> Callable[[pa.Tabl
 # 3. runs
 
 
-def as_bytes(column: pa.ChunkedArray) -> list[bytes]:
+def as_bytes(column: pa.ChunkedArray) -> Iterator[bytes]:
     """Lists of numbers as bytes that sort as they do."""
-    column = column.combine_chunks()
-    data = column.flatten().to_numpy(zero_copy_only=False).astype(">u8").tobytes()
-    ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]) * 8
-    return [data[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    for chunk in column.chunks:
+        data = chunk.flatten().to_numpy(zero_copy_only=False).astype(">u8").tobytes()
+        ends = np.concatenate([[0], np.cumsum(chunk.value_lengths().to_numpy(zero_copy_only=False))]) * 8
+        yield from (data[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -385,17 +386,12 @@ def lengths(query: bytes, suffixes: list[bytes], upto: list[int]) -> tuple[list[
 
 
 def matched(train: pa.Table, asked: pa.Table) -> pa.Table:
-    by: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-    for key, part, words, n in zip(train["key"].to_pylist(), train["part"].to_pylist(), as_bytes(train["words"]) if len(train) else [], train["n"].to_pylist(), strict=True):
-        by.setdefault((key, part), []).append((words, n))
-    arrays: dict[tuple[int, int], tuple[list[bytes], list[int]]] = {}
-    for k, rows in by.items():
-        rows.sort()
-        upto = [0]
-        for _, n in rows:
-            upto.append(upto[-1] + n)
-        arrays[k] = [w for w, _ in rows], upto
-    got = [lengths(q, *arrays[key, part]) if (key, part) in arrays else ([], []) for key, part, q in zip(asked["key"].to_pylist(), asked["part"].to_pylist(), as_bytes(asked["words"]) if len(asked) else [], strict=True)]
+    by: dict[tuple[int, int], dict[bytes, int]] = {}
+    for key, part, words, n in zip(train["key"].to_pylist(), train["part"].to_pylist(), as_bytes(train["words"]), train["n"].to_pylist(), strict=True):
+        same = by.setdefault((key, part), {})
+        same[words] = same.get(words, 0) + n
+    arrays = {k: ((order := sorted(rows)), [0, *accumulate(map(rows.__getitem__, order))]) for k, rows in by.items()}
+    got = [lengths(q, *arrays[key, part]) if (key, part) in arrays else ([], []) for key, part, q in zip(asked["key"].to_pylist(), asked["part"].to_pylist(), as_bytes(asked["words"]), strict=True)]
     return pa.table({"run": asked["run"], "low": asked["low"], "s": asked["s"], "len": pa.array([x for x, _ in got], pa.list_(pa.int64())), "n": pa.array([x for _, x in got], pa.list_(pa.int64()))})
 
 
@@ -480,7 +476,7 @@ def match_runs(runs: DataFrame, segments: DataFrame, hot: int) -> list[DataFrame
 
 
 @scratched
-def score(docs: DataFrame, held_out: Column, block_words: int = 1_000_000, shard_words: int = 1_000_000, hot: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_words: int = 1_000_000, shard_words: int = 1_000_000, hot: int = 10_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType

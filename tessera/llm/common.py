@@ -88,6 +88,14 @@ def keyed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Tables of written or keyed that are spent: their files go before the operator ends."""
+    for df in tables:
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character unchanged.  Texts of ASCII alone take the fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -32,6 +32,7 @@ they are, runs as well.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import struct
 from bisect import bisect_left
@@ -41,14 +42,15 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .bytewords import blocks, hashes_of, mix64
-from .common import keyed, scratched, written
+from .bytewords import blocks, mix64
+from .common import keyed, removed, scratched, written
 
 STRENGTH, LEAST = 200.0, 0.05
 DEPTH = 4
@@ -56,24 +58,25 @@ NONE = np.zeros(0, np.int64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers from 0 on, compressed byte by byte."""
-    out = []
+    """Arrays of integers from 0 on, byte by byte, compressed as one: messages are many and short."""
+    head, planes = [bytes([len(arrays)])], []
     for a in arrays:
         top = int(a.max(initial=0))
         size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-        data = pa.compress(a.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes(), "zstd", asbytes=True)
-        out.append(struct.pack("<BII", size, len(a), len(data)) + data)
-    return b"".join(out)
+        head.append(struct.pack("<BQ", size, len(a)))
+        planes.append(a.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes())
+    return b"".join([*head, pa.compress(b"".join(planes), "zstd", asbytes=True)])
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
+    start = 1 + 9 * blob[0]
+    shapes = list(struct.iter_unpack("<BQ", blob[1:start]))
+    raw = pa.decompress(blob[start:], sum(size * n for size, n in shapes), "zstd", asbytes=True)
     out, at = [], 0
-    while at < len(blob):
-        size, n, packed = struct.unpack_from("<BII", blob, at)
-        at += 9
-        raw = pa.decompress(blob[at : at + packed], n * size, "zstd", asbytes=True)
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(f"<u{size}").reshape(n).astype(np.int64))
-        at += packed
+    for size, n in shapes:
+        planes = np.frombuffer(raw, np.uint8, size * n, at)
+        out.append((np.ascontiguousarray(planes.reshape(size, n).T).view(f"<u{size}").reshape(n) if size > 1 else planes).astype(np.int64))
+        at += size * n
     return out
 
 
@@ -87,6 +90,28 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
 
+def by_shard(shard: np.ndarray) -> np.ndarray:
+    """Places in the order of their shards (small numbers are sorted by radix)."""
+    return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
+
+
+def spelled(words: np.ndarray, width: int) -> bytes:
+    """Numbers of words as bytes that sort as they do."""
+    return words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
+
+
+def width_of(top: int) -> int:
+    """Bytes of a word number up to top, of which the first is never 255."""
+    return next(w for w in range(1, 9) if top < 255 << 8 * (w - 1))
+
+
+def trimmed() -> None:
+    """What a block or a shard took goes back to the system: the workers stay, and share their memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 # 1. blocks and the vocabulary
 
 
@@ -106,7 +131,9 @@ def encoder(block_words: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]
             order = np.argsort(-np.bincount(codes, minlength=len(spelt)), kind="stable")
             codes, spelt = np.argsort(order)[codes], spelt.take(pa.array(order))
             n = np.bincount(codes[np.repeat(~out, n_words + 1)], minlength=len(spelt))
-            shard = (hashes_of(spelt)[:, 0] % np.uint64(shards)).astype(np.int64)
+            ends = np.frombuffer(spelt.buffers()[1], np.int64, len(spelt) + 1).tolist()
+            cut = map(spelt.buffers()[2].to_pybytes().__getitem__, map(slice, ends[:-1], ends[1:])) if ends[-1] else [b""] * len(spelt)
+            shard = (np.fromiter(map(xxhash.xxh3_64_intdigest, cut), np.uint64, len(spelt)) % np.uint64(shards)).astype(np.int64)
             sent = []
             for s in np.unique(shard).tolist():
                 mine = np.flatnonzero(shard == s)
@@ -137,8 +164,11 @@ def encoder(block_words: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]
                 if size >= block_words:
                     yield row(ids)
                     block, held, ids, size, number = [], [], [], 0, number + 1
+                    trimmed()
         if block:
             yield row(ids)
+            block, held, ids = [], [], []
+            trimmed()
 
     return run
 
@@ -158,7 +188,7 @@ def numbered(shards: int) -> Callable[[pa.Table], pa.Table]:
         ends = np.cumsum([len(x[0]) for x in sent])
         out = [pack(number[c], total[c]) for c in np.split(code, ends[:-1])]
         known = [int((total > 0).sum())] + [0] * (len(out) - 1)
-        return pa.table({"block": rows["block"], "shard": rows["shard"], "blob": pa.array(out, pa.binary()), "known": pa.array(known, pa.int64())})
+        return pa.table({"block": rows["block"], "shard": rows["shard"], "blob": pa.array(out, pa.binary()), "known": pa.array(known, pa.int64()), "top": pa.array([int(number.max(initial=0))] * len(out), pa.int64())})
 
     return run
 
@@ -178,23 +208,27 @@ class Block:
         (codes,), (of,) = unpack(row["codes"][0].as_py()), unpack(row["of"][0].as_py())
         blobs = messages(said, 2)
         ids, c = (joined(list(x)) for x in zip(*(unpack(blobs[s]) for s in sorted(blobs)), strict=True))
-        place = np.argsort(np.argsort(of, kind="stable"))  # sent shard by shard, in the order of the codes
+        place = np.argsort(by_shard(of))  # sent shard by shard, in the order of the codes
         self.x, self.c = ids[place][codes], c[place][codes]
         self.held, self.size = held > 0, n_words + 1
         self.first = np.cumsum(self.size) - self.size
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         n = len(codes)
-        self.left = (self.first + self.size)[self.doc] - np.arange(n)  # tokens from here to the document's end
+        self.left = ((self.first + self.size)[self.doc] - np.arange(n)).astype(np.int32)  # tokens from here to the document's end
         code = np.concatenate([codes + 1, np.zeros(DEPTH, np.int64)])
         at = lambda j: np.where(self.left > j, code[j : j + n], 0)
         pair = np.unique(np.append(at(0) * (len(of) + 2) + at(1), 0), return_inverse=True)[1]
         later = np.where(self.left > 2, np.concatenate([pair[2:n], [pair[n]] * min(n, 2)]), pair[n])
-        self.suffix = pair[:n] * (n + 2) + later
+        self.suffix = np.unique(pair[:n] * (n + 2) + later, return_inverse=True)[1]
 
     def starts(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct suffixes (cut to DEPTH) among these positions: one position of each, the suffix of each position, counts."""
-        _, first, which, n = np.unique(self.suffix[positions], return_index=True, return_inverse=True, return_counts=True)
-        return positions[first], which, n
+        of = self.suffix[positions]
+        n = np.bincount(of)
+        first = np.zeros(len(n), np.int64)
+        first[of[::-1]] = positions[::-1]
+        met = np.flatnonzero(n)
+        return first[met], (np.cumsum(n > 0) - 1)[of], n[met]
 
     def words(self, at: np.ndarray, j: int) -> np.ndarray:
         return np.where(self.left[at] > j, self.x[np.minimum(at + j, len(self.x) - 1)], 0)
@@ -220,13 +254,16 @@ def sender(shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 if kind:
                     n = np.bincount(which, weights=b.held[b.doc[positions]], minlength=len(at)) > 0  # not only for its own start
                 shard = shard_of(b, at, shards)
-                order = np.argsort(shard, kind="stable")
-                ends = np.flatnonzero(np.diff(shard[order])) + 1
-                for mine in np.split(order, ends) if len(order) else []:
-                    out[0].append(int(shard[mine[0]]))
+                order = by_shard(shard)
+                sent = [*(b.words(at[order], j) for j in range(DEPTH)), n[order]]
+                ends = [*(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(order)] if len(order) else []
+                for start, end in zip([0, *ends], ends):  # noqa: B905
+                    out[0].append(int(shard[order[start]]))
                     out[1].append(b.key)
                     out[2].append(kind)
-                    out[3].append(pack(*(b.words(at[mine], j) for j in range(DEPTH)), n[mine]))
+                    out[3].append(pack(*(x[start:end] for x in sent)))
+            del b, positions, at, which, n, shard, order, sent
+            trimmed()
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["shard", "block", "kind", "blob"])
 
     return run
@@ -277,31 +314,33 @@ def log_p(length: np.ndarray, count: np.ndarray, both: np.ndarray, base: np.ndar
     return np.log10(np.where(length > 0, (both + a * base) / (count + a), base))
 
 
-def resolver(shards: int, n: int, v: int, doc_id: DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def resolver(shards: int, n: int, v: int, width: int, doc_id: DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block with what its shards say, to rows of three kinds: documents (0: scores of all tokens but those of runs), runs
-    (1: words from `at` on, counts of the words from the first deep token on) and training segments (2: words, starts asked for)."""
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("doc_id", to_arrow_type(doc_id)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("chain", pa.bool_()), ("same", pa.binary()), ("words", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+    (1: words from `at` on, counts of the words from the first deep token on) and training segments (2: words, starts asked for).
+    A word is `width` bytes."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("doc_id", to_arrow_type(doc_id)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("chain", pa.bool_()), ("same", pa.binary()), ("words", pa.binary()), ("more", pa.list_(pa.int64()))])
 
     def run(row: pa.Table, said: pa.Table) -> pa.Table:
         if not len(row):
             return schema.empty_table()
         b = Block(row, said)
         size = len(b.x)
-        count = [b.c.copy()] + [np.zeros(size, np.int64) for _ in range(DEPTH - 1)]  # count[j][i]: of the j + 1 words from i on
-        mark = np.zeros(size, np.int64)
+        count = [b.c] + [np.zeros(size, np.int64) for _ in range(DEPTH - 1)]  # count[j][i]: of the j + 1 words from i on
+        mark = np.zeros(size, np.int8)
         for kind, positions in enumerate((b.training(), b.asked())):
             at, which, _ = b.starts(positions)
-            order = np.argsort(shard_of(b, at, shards), kind="stable")
+            order = by_shard(shard_of(b, at, shards))
             got = messages(said, kind)
             values = [joined(list(x)) for x in zip(*(unpack(got[s]) for s in sorted(got)), strict=True)]
             for to, value in zip(count[1:] if kind else [mark], values, strict=bool(values)):
                 back = np.empty(len(at), np.int64)
                 back[order] = value
                 to[positions] = back[which]
+        del positions, at, which, order, got, values
         base = (b.c + 0.1) / (n + 0.1 * (v + 1))
         pos = np.arange(size)
         p = pos - b.first[b.doc]  # place in the document
-        length, c, both = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        length, c, both = np.zeros(size, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64)
         trained = ~b.held[b.doc]
         for j in range(1, DEPTH):  # contexts of j words
             start = np.maximum(pos - j, 0)
@@ -324,29 +363,39 @@ def resolver(shards: int, n: int, v: int, doc_id: DataType) -> Callable[[pa.Tabl
                 runs.append((s, words, min(words - DEPTH + 1, int(b.left[s]) - DEPTH), True))
         for s, _, tokens, _ in runs:
             token[s + DEPTH : s + DEPTH + tokens] = True
-        score = np.where(token, 0.0, log_p(length, c, both, base))
+        score = np.zeros(size)
+        for s in range(0, size, 1 << 16):
+            part = slice(s, s + (1 << 16))
+            score[part] = np.where(token[part], 0.0, log_p(length[part], c[part], both[part], base[part]))
+        del length, c, both, p, pos
         per = lambda w: np.bincount(b.doc, weights=w, minlength=len(b.size))
         docs = len(b.size)
         on = (mark > 0) & (b.left >= DEPTH) & trained
         seg_first = np.flatnonzero(on & ~np.concatenate([[False], on[:-1] & (b.doc[1:] == b.doc[:-1])]))
         seg_last = np.flatnonzero(on & ~np.concatenate([on[1:] & (b.doc[1:] == b.doc[:-1]), [False]]))
         segments = []
-        for s, e in zip(seg_first.tolist(), seg_last.tolist(), strict=True):
-            starts = np.flatnonzero(mark[s : e + 1] == 2)
-            if len(starts):
-                segments.append((s, e, starts))
+        starts = np.flatnonzero(on & (mark == 2))
+        low, high = np.searchsorted(starts, seg_first).tolist(), np.searchsorted(starts, seg_last, "right").tolist()
+        for s, e, i, j in zip(seg_first.tolist(), seg_last.tolist(), low, high, strict=True):
+            if i < j:
+                segments.append((s, e, starts[i:j] - s))
         k = docs + len(runs) + len(segments)
-        lists = [[NONE] * docs + [b.x[s : s + w] for s, w, _, _ in runs] + [b.x[s : e + DEPTH] for s, e, _ in segments], [NONE] * docs + [b.c[s + DEPTH : s + DEPTH + t] for s, _, t, _ in runs] + [x for _, _, x in segments]]
+        letters = spelled(b.x, width)
+        words = [letters[s * width : (s + w) * width] for s, w, _, _ in runs] + [letters[s * width : (e + DEPTH) * width] for s, e, _ in segments]
+        more = [b.c[s + DEPTH : s + DEPTH + t] for s, _, t, _ in runs] + [x for _, _, x in segments]
         whole = lambda values, rest: pa.array([*values, *([None] * rest)])
         columns = [
             pa.array([0] * docs + [1] * len(runs) + [2] * len(segments), pa.int32()), pa.array([b.key] * k, pa.int64()),
             pa.array([*range(docs), *(r[0] for r in runs), *(s[0] for s in segments)], pa.int64()), pa.array([*range(docs), *(int(b.doc[r[0]]) for r in runs), *(int(b.doc[s[0]]) for s in segments)], pa.int64()),
             pa.concat_arrays([b.ids, pa.nulls(k - docs, b.ids.type)]), whole(b.held.tolist(), k - docs), whole(b.size.tolist(), k - docs), whole(per(b.c > 0).astype(np.int64).tolist(), k - docs),
             whole(per(np.log10(base)).tolist(), k - docs), whole(per(score).tolist(), k - docs), pa.array([False] * docs + [r[3] for r in runs] + [False] * len(segments), pa.bool_()),
-            pa.array([None] * docs + [hashlib.sha256(x.tobytes() + b"|" + y.tobytes()).digest() for x, y in zip(lists[0][docs:], lists[1][docs:], strict=True)], pa.binary()),
-            *(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]), pa.int32()), pa.array(joined(xs), pa.int64())) for xs in lists),
+            pa.array([None] * docs + [hashlib.sha256(struct.pack("<Q", len(x)) + x + y.tobytes()).digest() for x, y in zip(words, more, strict=True)], pa.binary()), pa.array([b""] * docs + words, pa.binary()),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([0] * docs + [len(x) for x in more])]), pa.int32()), pa.array(joined(more), pa.int64())),
         ]
-        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+        result = pa.Table.from_arrays([x.cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+        del b, count, mark, base, score, token, letters, words, columns
+        trimmed()
+        return result
 
     return run
 
@@ -355,44 +404,52 @@ def resolver(shards: int, n: int, v: int, doc_id: DataType) -> Callable[[pa.Tabl
 
 
 def as_bytes(column: pa.ChunkedArray) -> Iterator[bytes]:
-    """Lists of numbers as bytes that sort as they do."""
     for chunk in column.chunks:
-        data = chunk.flatten().to_numpy(zero_copy_only=False).astype(">u8").tobytes()
-        ends = np.concatenate([[0], np.cumsum(chunk.value_lengths().to_numpy(zero_copy_only=False))]) * 8
-        yield from (data[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        chunk = chunk.cast(pa.large_binary())
+        ends = np.frombuffer(chunk.buffers()[1], np.int64, len(chunk) + 1, chunk.offset * 8).tolist()
+        data = chunk.buffers()[2].to_pybytes() if ends[-1] else b""
+        yield from (data[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True))
 
 
-def common(a: bytes, b: bytes) -> int:
+def common(a: bytes, b: bytes, width: int) -> int:
     """Number of words with which both begin."""
-    low, high = 0, min(len(a), len(b)) // 8
+    low, high = 0, min(len(a), len(b)) // width
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[: 8 * mid] == b[: 8 * mid] else (low, mid - 1)
+        low, high = (mid, high) if a[: width * mid] == b[: width * mid] else (low, mid - 1)
     return low
 
 
-def lengths(query: bytes, suffixes: list[bytes], upto: list[int]) -> tuple[list[int], list[int]]:
-    """The longest match of the query with one of the sorted suffixes, and each shorter one that more of them have, with their counts."""
+def lengths(query: bytes, suffixes: list[bytes], upto: list[int], width: int) -> tuple[list[int], list[int]]:
+    """The longest match (DEPTH words at least) of the query with one of the sorted suffixes, and each shorter one that more of
+    them have, with their counts."""
     at = bisect_left(suffixes, query)
-    match = max(common(query, suffixes[i]) for i in (at - 1, at) if 0 <= i < len(suffixes))
+    match = max((common(query, suffixes[i], width) for i in (at - 1, at) if 0 <= i < len(suffixes)), default=0)
     out: tuple[list[int], list[int]] = ([], [])
-    while match:
-        prefix = query[: 8 * match]
-        low, high = bisect_left(suffixes, prefix), bisect_left(suffixes, prefix + b"\xff")
+    low = high = at
+    while match >= DEPTH:
+        prefix = query[: width * match]
+        low, high = bisect_left(suffixes, prefix, 0, low), bisect_left(suffixes, prefix + b"\xff", high)
         out[0].append(match)
         out[1].append(upto[high] - upto[low])
-        match = max((common(query, suffixes[i]) for i in (low - 1, high) if 0 <= i < len(suffixes)), default=0)
+        match = max((common(query, suffixes[i], width) for i in (low - 1, high) if 0 <= i < len(suffixes)), default=0)
     return out
 
 
-def matched(train: pa.Table, asked: pa.Table) -> pa.Table:
-    by: dict[tuple[int, int], dict[bytes, int]] = {}
-    for key, part, words, n in zip(train["key"].to_pylist(), train["part"].to_pylist(), as_bytes(train["words"]), train["n"].to_pylist(), strict=True):
-        same = by.setdefault((key, part), {})
-        same[words] = same.get(words, 0) + n
-    arrays = {k: ((order := sorted(rows)), [0, *accumulate(map(rows.__getitem__, order))]) for k, rows in by.items()}
-    got = [lengths(q, *arrays[key, part]) if (key, part) in arrays else ([], []) for key, part, q in zip(asked["key"].to_pylist(), asked["part"].to_pylist(), as_bytes(asked["words"]), strict=True)]
-    return pa.table({"run": asked["run"], "low": asked["low"], "s": asked["s"], "len": pa.array([x for x, _ in got], pa.list_(pa.int64())), "n": pa.array([x for _, x in got], pa.list_(pa.int64()))})
+def matcher(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Suffixes asked for and those of training, of some keys and parts, to the matches."""
+
+    def run(train: pa.Table, asked: pa.Table) -> pa.Table:
+        by: dict[int, dict[bytes, int]] = {}
+        for part, words, n in zip(train["part"].to_numpy().tolist(), as_bytes(train["words"]), train["n"].to_numpy().tolist(), strict=True):
+            same = by.setdefault(part, {})
+            same[words] = same.get(words, 0) + n
+        arrays = {k: ((order := sorted(rows)), [0, *accumulate(map(rows.__getitem__, order))]) for k, rows in by.items()}
+        none: tuple[list[bytes], list[int]] = ([], [0])
+        got = [lengths(q, *arrays.get(part, none), width) for part, q in zip(asked["part"].to_numpy().tolist(), as_bytes(asked["words"]), strict=True)]
+        return pa.table({"run": asked["run"], "low": asked["low"], "s": asked["s"], "len": pa.array([x for x, _ in got], pa.list_(pa.int64())), "n": pa.array([x for _, x in got], pa.list_(pa.int64()))})
+
+    return run
 
 
 def run_scores(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
@@ -429,50 +486,53 @@ def run_scores(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def match_runs(runs: DataFrame, segments: DataFrame, hot: int) -> list[DataFrame]:
+def match_runs(runs: DataFrame, segments: DataFrame, width: int, hot: int) -> list[DataFrame]:
     """run, low, s, len, n: for suffixes s of the runs (run, chain, words), as many as it takes, their matches among the segments
-    (of, words, more, times)."""
+    (of, words, more, times).  A word is `width` bytes."""
     spark = runs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = lambda words, at=0: F.xxhash64(F.slice(words, F.lit(at) + 1, F.lit(DEPTH)))
+    key = lambda words, at=0: F.xxhash64(F.substring(words, F.lit(at) * width + 1, F.lit(DEPTH * width)))
+    size = F.expr(f"cast(length(words) div {width} as int)")
     segments = keyed(segments.repartition(buckets, "of"), "segments", "of", buckets)
     starts = segments.select("of", F.explode(F.col("more").cast("array<int>")).alias("start"), "words")
-    active = keyed(starts.select(key("words", F.col("start")).alias("key"), "of", "start").repartition(buckets, "key"), "active", "key", buckets)
+    active = keyed(starts.select(key(F.col("words"), F.col("start")).alias("key"), "of", "start").repartition(buckets, "key"), "active", "key", buckets)
     often = written(active.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts")), "often")
     text = segments.select("of", F.col("words").alias("text"), F.col("times").alias("n"))
 
     def match(asked: DataFrame) -> DataFrame:
         """asked: run, low, s, words."""
-        asked = written(asked.withColumn("key", key("words")).join(often, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "asked")
-        wants = asked.groupBy("key").agg(F.max(F.size("words")).alias("want"), F.max("parts").alias("parts"))
-        found = active.join(wants, "key").join(text, "of").select("key", "parts", F.expr("slice(text, start + 1, want)").alias("words"), "n")
+        asked = written(asked.withColumn("key", key(F.col("words"))).join(often, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "asked")
+        wants = asked.groupBy("key").agg(F.max(F.length("words")).alias("want"), F.max("parts").alias("parts"))
+        found = active.join(wants, "key").join(text, "of").select("key", "parts", F.expr(f"substring(text, start * {width} + 1, want)").alias("words"), "n")
         part = F.pmod(F.xxhash64("words"), F.col("parts").cast("long")).cast("int")
         group = F.pmod(F.hash("key", "part"), F.lit(16 * buckets)).alias("group")
-        suffixes = found.select("key", part.alias("part"), "words", "n").select(group, "*")
-        each = asked.select("run", "low", "s", "words", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(group, "*")
+        suffixes = found.select("key", part.alias("part"), "words", "n").select(group, "part", "words", "n")
+        each = asked.select("run", "low", "s", "words", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(group, "part", "run", "low", "s", "words")
         out = "run long, low int, s int, len array<long>, n array<long>"
-        return written(suffixes.groupBy("group").cogroup(each.groupBy("group")).applyInArrow(matched, out), "matches")
+        matches = written(suffixes.groupBy("group").cogroup(each.groupBy("group")).applyInArrow(matcher(width), out), "matches")
+        removed(asked)
+        return matches
 
-    last = F.when(F.col("chain"), F.lit(0)).otherwise(F.size("words") - DEPTH)
+    last = F.when(F.col("chain"), F.lit(0)).otherwise(size - DEPTH)
     ends = F.explode(F.array_distinct(F.array(F.lit(0), last))).alias("s")
     # the last suffix of a run matches DEPTH words
-    done = [match(runs.select("run", F.lit(0).alias("low"), ends, "words").withColumn("words", F.expr("slice(words, s + 1, size(words))")))]
+    done = [match(runs.select("run", F.lit(0).alias("low"), ends, "words").withColumn("words", F.expr(f"substring(words, s * {width} + 1, length(words))")))]
     reach = lambda m: m.where(F.size("len") > 0).groupBy("run", "low", "s").agg((F.col("s") + F.max(F.element_at("len", 1))).cast("int").alias("end"))
     first = reach(done[0]).where("s = 0").select("run", F.col("end").alias("low_end"))
     # suffixes between low and high whose matches end between low_end and high_end; words: from low to high_end
-    todo = runs.where("not chain").join(first, "run").select("run", F.lit(0).alias("low"), "low_end", last.alias("high"), F.size("words").alias("high_end"), "words")
+    todo = runs.where("not chain").join(first, "run").select("run", F.lit(0).alias("low"), "low_end", last.alias("high"), size.alias("high_end"), "words")
     while True:
         todo = written(todo.where("high - low > 1 and low_end < high_end"), "intervals")
         if todo.limit(1).count() == 0:
             return done
         probes = F.array_distinct(F.array(*(F.col("low") + F.ceil((F.col("high") - F.col("low")) * (q / 4)).cast("int") for q in (1, 2, 3))))
         asked = todo.select("run", "low", "high", "words", F.explode(probes).alias("s")).where("s < high")
-        done.append(match(asked.select("run", "low", "s", F.expr("slice(words, s - low + 1, size(words))").alias("words"))))
+        done.append(match(asked.select("run", "low", "s", F.expr(f"substring(words, (s - low) * {width} + 1, length(words))").alias("words"))))
         met = reach(done[-1]).groupBy("run", "low").agg(F.collect_list(F.struct("s", "end")).alias("met"))
         points = F.array_sort(F.concat(F.array(F.struct(F.col("low").alias("s"), F.col("low_end").alias("end"))), "met", F.array(F.struct(F.col("high").alias("s"), F.col("high_end").alias("end")))))
         pairs = F.expr("transform(sequence(1, size(p) - 1), i -> struct(element_at(p, i) as a, element_at(p, i + 1) as b))")
         split = todo.join(met, ["run", "low"]).withColumn("p", points).select("run", F.col("low").alias("was"), "words", F.explode(pairs).alias("x"))
-        todo = split.select("run", F.col("x.a.s").alias("low"), F.col("x.a.end").alias("low_end"), F.col("x.b.s").alias("high"), F.col("x.b.end").alias("high_end"), F.expr("slice(words, x.a.s - was + 1, x.b.end - x.a.s)").alias("words"))
+        todo = split.select("run", F.col("x.a.s").alias("low"), F.col("x.a.end").alias("low_end"), F.col("x.b.s").alias("high"), F.col("x.b.end").alias("high_end"), F.expr(f"substring(words, (x.a.s - was) * {width} + 1, (x.b.end - x.a.s) * {width})").alias("words"))
 
 
 @scratched
@@ -488,24 +548,28 @@ def score(docs: DataFrame, held_out: Column, block_words: int = 1_000_000, shard
     columns = docs.select("text", "doc_id", F.coalesce(held_out, F.lit(False)).alias("held"))
     rows = keyed(columns.mapInArrow(encoder(block_words, vocabulary_shards), shape), "blocks", "block", buckets)
     sent = rows.select("block", F.explode("sent").alias("m")).select("block", "m.shard", "m.blob")
-    vocabulary = written(sent.groupBy("shard").applyInArrow(numbered(vocabulary_shards), "block long, shard int, blob binary, known long"), "vocabulary")
+    vocabulary = written(sent.groupBy("shard").applyInArrow(numbered(vocabulary_shards), "block long, shard int, blob binary, known long, top long"), "vocabulary")
     n = rows.agg(F.sum("n_train")).collect()[0][0] or 0
-    v = vocabulary.agg(F.sum("known")).collect()[0][0] or 0
+    v, top = vocabulary.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.max("top"), F.lit(0))).collect()[0]
+    width = width_of(top)
     said = vocabulary.select("block", "shard", F.lit(2).alias("kind"), "blob")
     rows = rows.select("block", "ids", "docs", "codes", "of")
     suffixes = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(sender(shards), "shard int, block long, kind int, blob binary")
     answers = written(suffixes.groupBy("shard").applyInArrow(searcher, "block long, shard int, kind int, blob binary"), "answers")
     said = said.unionByName(answers)
-    out = f"kind int, block long, at long, doc long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, chain boolean, same binary, words array<long>, more array<long>"
-    known = written(rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(resolver(shards, n, v, kind), out), "resolved")
+    out = f"kind int, block long, at long, doc long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, chain boolean, same binary, words binary, more array<long>"
+    known = written(rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(resolver(shards, n, v, width, kind), out), "resolved")
+    removed(rows, vocabulary, answers)
     # what several documents have is matched and scored once
     unique = known.where("kind > 0").groupBy("kind", "chain", "same").agg(F.first("words").alias("words"), F.first("more").alias("more"), F.count("*").alias("times"))
     unique = written(unique.withColumn("of", F.monotonically_increasing_id()), "unique")
     once, segments = unique.where("kind = 1").withColumnRenamed("of", "run"), unique.where("kind = 2").select("of", "words", "more", "times")
-    runs = known.where("kind = 1").join(once.select("chain", "same", "run"), ["chain", "same"])
-    done = match_runs(once, segments, hot)
+    runs = written(known.where("kind = 1").select("block", "doc", "chain", "same").join(once.select("chain", "same", "run"), ["chain", "same"]).select("block", "doc", "run"), "runs")
+    whole = written(known.where("kind = 0").select("block", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), "documents")
+    removed(known)
+    done = match_runs(once, segments, width, hot)
     matches = reduce(DataFrame.unionByName, done).where(F.size("len") > 0).groupBy("run").agg(F.collect_list(F.struct("s", "len", "n")).alias("matches"))
     deep = once.select("run", "chain", "more").join(matches, "run").mapInArrow(run_scores(n, v), "run long, deep double")
-    deep = runs.select("block", "doc", "run").join(deep, "run").groupBy("block", "doc").agg(F.sum("deep").alias("deep"))
-    scored = known.where("kind = 0").join(deep, ["block", "doc"], "left")
+    deep = runs.join(deep, "run").groupBy("block", "doc").agg(F.sum("deep").alias("deep"))
+    scored = whole.join(deep, ["block", "doc"], "left")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"))

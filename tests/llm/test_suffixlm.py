@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -7,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import suffixlm
+from tessera.llm.common import shared_dir
 from tessera.llm.language import held_out
 from tessera.llm.queries import op8_lm_scoring
 from tessera.llm.suffixlm import LEAST, STRENGTH, score
@@ -104,3 +107,32 @@ def test_held_out_documents_of_the_table(spark):
     assert len(got) == 200 and np.isfinite(got.score).all() and (got.score < 0).all()
     out = got[got.held_out]
     assert out.score.sum() > out.base_score.sum()  # better than the unigrams on what it has not seen
+
+
+def test_a_message_is_compressed_once():
+    arrays = [np.arange(10) * 70 ** k for k in range(5)] + [np.zeros(0, np.int64), np.array([1 << 40])]
+    blob = suffixlm.pack(*arrays)
+    assert blob.count(b"\x28\xb5\x2f\xfd") == 1  # frames of zstd
+    assert [a.tolist() for a in suffixlm.unpack(blob)] == [a.tolist() for a in arrays]
+
+
+def test_bytes_of_words_sort_as_their_numbers():
+    for top in (0, 254, 255, 65_279, 65_280, 1 << 40):
+        width = suffixlm.width_of(top)
+        numbers = sorted({0, top // 3, max(0, top - 1), top})
+        words = [suffixlm.spelled(np.array([x]), width) for x in numbers]
+        assert words == sorted(words) and {len(w) for w in words} == {width} and all(w[0] < 255 for w in words)
+
+
+def test_spent_tables_are_gone_when_runs_are_matched(spark, monkeypatch):
+    left, match_runs = [], suffixlm.match_runs
+    root = shared_dir(spark).removeprefix("file://")
+
+    def seen(*args):
+        left.extend(x.name for d in os.scandir(root) if d.name.startswith("score-") for x in os.scandir(d) if x.is_dir())
+        return match_runs(*args)
+
+    monkeypatch.setattr(suffixlm, "match_runs", seen)
+    df = spark.createDataFrame([(i, f"a b c d e f g{i % 3}") for i in range(40)], "doc_id long, text string")
+    assert score(df, F.col("doc_id") % 10 == 0).count() == 40
+    assert {x.rsplit("-", 1)[0] for x in left} == {"unique", "runs", "documents"}

@@ -19,8 +19,8 @@ Every word of the corpus moves a fixed number of times:
 3. What matches DEPTH words or more is a few runs of text; equal ones (by SHA-256) are matched once.  A run's first suffix is sought among the training suffixes
    with the same DEPTH words, which are now sent with as much text as can match; these are sorted, and binary search gives
    the longest match and the count of each length.  Where the match ends before the run does, e(i) of further suffixes is
-   found by dividing the run: between two suffixes with equal e there is none to ask for.  Rounds are logarithmic in the
-   length of a run.
+   found by dividing the run (by WAYS in a round): between two suffixes with equal e there is none to ask for.  Rounds are
+   logarithmic in the length of a run.
 
 A first pair of words is one shard's, with equal suffixes counted once for each block; the suffixes of DEPTH words that are
 many (`hot`) are dealt to parts, each asked for the same text, and their counts add up.
@@ -42,7 +42,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +53,8 @@ from .common import keyed, removed, scratched, written
 
 STRENGTH, LEAST = 200.0, 0.05
 DEPTH = 4
+WAYS = 16  # parts into which a round divides what is left of a run
+TOKENS = 1 << 16  # tokens of runs that are scored at once
 NONE = np.zeros(0, np.int64)
 
 
@@ -64,7 +65,8 @@ def pack(*arrays: np.ndarray) -> bytes:
         top = int(a.max(initial=0))
         size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
         head.append(struct.pack("<BQ", size, len(a)))
-        planes.append(a.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes())
+        a = a.astype(f"<u{size}", copy=False)
+        planes += [(a >> 8 * k).astype(np.uint8).tobytes() for k in range(size)]
     return b"".join([*head, pa.compress(b"".join(planes), "zstd", asbytes=True)])
 
 
@@ -90,6 +92,21 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values (from 0 on) and the place of each key among them: one sort of numbers that hold key and place."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()) >> 63 - bits:
+        return np.unique(keys, return_inverse=True)
+    both = keys << bits | np.arange(len(keys))
+    both.sort()
+    at = both & (1 << bits) - 1
+    both >>= bits
+    new = np.concatenate([[True], both[1:] != both[:-1]])
+    out = np.empty(len(keys), np.int64)
+    out[at] = np.cumsum(new) - 1
+    return both[new], out
+
+
 def by_shard(shard: np.ndarray) -> np.ndarray:
     """Places in the order of their shards (small numbers are sorted by radix)."""
     return np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
@@ -115,6 +132,16 @@ def trimmed() -> None:
 # 1. blocks and the vocabulary
 
 
+def shard_of_words(words: pa.LargeBinaryArray, shards: int) -> np.ndarray:
+    """A shard for each word: its letters are hashed with their places, and added up."""
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    size = np.diff(ends)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64((place << 8 | data).astype(np.uint64) + np.uint64(1)))])
+    return (mix64(total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]]) % np.uint64(shards)).astype(np.int64)
+
+
 def encoder(block_words: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Columns text, doc_id, held to one row for each block of documents; the empty word stands for a document's end."""
 
@@ -131,9 +158,7 @@ def encoder(block_words: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]
             order = np.argsort(-np.bincount(codes, minlength=len(spelt)), kind="stable")
             codes, spelt = np.argsort(order)[codes], spelt.take(pa.array(order))
             n = np.bincount(codes[np.repeat(~out, n_words + 1)], minlength=len(spelt))
-            ends = np.frombuffer(spelt.buffers()[1], np.int64, len(spelt) + 1).tolist()
-            cut = map(spelt.buffers()[2].to_pybytes().__getitem__, map(slice, ends[:-1], ends[1:])) if ends[-1] else [b""] * len(spelt)
-            shard = (np.fromiter(map(xxhash.xxh3_64_intdigest, cut), np.uint64, len(spelt)) % np.uint64(shards)).astype(np.int64)
+            shard = shard_of_words(spelt, shards)
             sent = []
             for s in np.unique(shard).tolist():
                 mine = np.flatnonzero(shard == s)
@@ -199,6 +224,16 @@ def messages(said: pa.Table, kind: int) -> dict[int, bytes]:
     return dict(zip(rows["shard"].to_pylist(), rows["blob"].to_pylist(), strict=True))
 
 
+def suffixes_of(codes: np.ndarray, left: np.ndarray, top: int) -> np.ndarray:
+    """A number for each suffix cut to DEPTH words, in their order.  left: tokens from here to the document's end; codes are below top."""
+    n = len(codes)
+    code = np.concatenate([codes + 1, np.zeros(DEPTH, np.int64)])
+    at = lambda j: np.where(left > j, code[j : j + n], 0)
+    pair = distinct(np.append(at(0) * (top + 2) + at(1), 0))[1]
+    later = np.where(left > 2, np.concatenate([pair[2:n], [pair[n]] * min(n, 2)]), pair[n])
+    return distinct(pair[:n] * (n + 2) + later)[1]
+
+
 class Block:
     """A block of documents with the numbers and counts of its words, and the distinct starts of its suffixes."""
 
@@ -209,17 +244,14 @@ class Block:
         blobs = messages(said, 2)
         ids, c = (joined(list(x)) for x in zip(*(unpack(blobs[s]) for s in sorted(blobs)), strict=True))
         place = np.argsort(by_shard(of))  # sent shard by shard, in the order of the codes
-        self.x, self.c = ids[place][codes], c[place][codes]
+        small = np.int32 if ids.max(initial=0) < 1 << 31 else np.int64
+        self.x, self.c = ids[place].astype(small)[codes], c[place][codes]
         self.held, self.size = held > 0, n_words + 1
         self.first = np.cumsum(self.size) - self.size
         self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         n = len(codes)
         self.left = ((self.first + self.size)[self.doc] - np.arange(n)).astype(np.int32)  # tokens from here to the document's end
-        code = np.concatenate([codes + 1, np.zeros(DEPTH, np.int64)])
-        at = lambda j: np.where(self.left > j, code[j : j + n], 0)
-        pair = np.unique(np.append(at(0) * (len(of) + 2) + at(1), 0), return_inverse=True)[1]
-        later = np.where(self.left > 2, np.concatenate([pair[2:n], [pair[n]] * min(n, 2)]), pair[n])
-        self.suffix = np.unique(pair[:n] * (n + 2) + later, return_inverse=True)[1]
+        self.suffix = suffixes_of(codes, self.left, len(of))
 
     def starts(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct suffixes (cut to DEPTH) among these positions: one position of each, the suffix of each position, counts."""
@@ -231,6 +263,8 @@ class Block:
         return first[met], (np.cumsum(n > 0) - 1)[of], n[met]
 
     def words(self, at: np.ndarray, j: int) -> np.ndarray:
+        if j < 2:  # all that is sent or asked for has two words
+            return self.x[at + j]
         return np.where(self.left[at] > j, self.x[np.minimum(at + j, len(self.x) - 1)], 0)
 
     def training(self) -> np.ndarray:
@@ -253,24 +287,25 @@ def sender(shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 at, which, n = b.starts(positions)
                 if kind:
                     n = np.bincount(which, weights=b.held[b.doc[positions]], minlength=len(at)) > 0  # not only for its own start
-                shard = shard_of(b, at, shards)
+                words = [b.words(at, j) for j in range(DEPTH)]
+                shard = shard_of(words[0], words[1], shards)
                 order = by_shard(shard)
-                sent = [*(b.words(at[order], j) for j in range(DEPTH)), n[order]]
+                sent = [x[order] for x in (*words, n)]
                 ends = [*(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(order)] if len(order) else []
                 for start, end in zip([0, *ends], ends):  # noqa: B905
                     out[0].append(int(shard[order[start]]))
                     out[1].append(b.key)
                     out[2].append(kind)
                     out[3].append(pack(*(x[start:end] for x in sent)))
-            del b, positions, at, which, n, shard, order, sent
+            del b, positions, at, which, n, words, shard, order, sent
             trimmed()
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["shard", "block", "kind", "blob"])
 
     return run
 
 
-def shard_of(b: Block, at: np.ndarray, shards: int) -> np.ndarray:
-    pair = b.words(at, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.words(at, 1).astype(np.uint64)
+def shard_of(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+    pair = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
     return (mix64(pair) % np.uint64(shards)).astype(np.int64)
 
 
@@ -280,14 +315,14 @@ def searcher(rows: pa.Table) -> pa.Table:
     kinds, blobs = rows["kind"].to_pylist(), [unpack(b) for b in rows["blob"].to_pylist()]
     side = [[joined([x[j] for k, x in zip(kinds, blobs, strict=True) if k == kind]) for j in range(DEPTH + 1)] for kind in (0, 1)]
     (train, n), (asked, held) = ((s[:DEPTH], s[DEPTH]) for s in side)
-    place, wanted = (np.unique(train[0], return_inverse=True)[1], find(np.unique(train[0]), asked[0]))
     counts, top = [], max((int(a.max(initial=0)) for a in (*train, *asked)), default=0)
     if top >= 1 << 31:  # small numbers in place of large ones
         seen = np.unique(joined(train))
         train, asked = [find(seen, a) for a in train], [np.where((p := find(seen, a)) < 0, len(seen), p) for a in asked]
         top = len(seen)
+    place, wanted = train[0], asked[0]
     for j in range(1, DEPTH):
-        keys, place = np.unique(place * (top + 1) + train[j], return_inverse=True)
+        keys, place = distinct(place * (top + 1) + train[j])
         wanted = np.where(wanted < 0, -1, find(keys, wanted * (top + 1) + asked[j]))
         total = np.bincount(place, weights=n, minlength=len(keys)).astype(np.int64)
         counts.append(np.where(wanted < 0, 0, total[wanted] if len(total) else 0))
@@ -329,7 +364,7 @@ def resolver(shards: int, n: int, v: int, width: int, doc_id: DataType) -> Calla
         mark = np.zeros(size, np.int8)
         for kind, positions in enumerate((b.training(), b.asked())):
             at, which, _ = b.starts(positions)
-            order = by_shard(shard_of(b, at, shards))
+            order = by_shard(shard_of(b.words(at, 0), b.words(at, 1), shards))
             got = messages(said, kind)
             values = [joined(list(x)) for x in zip(*(unpack(got[s]) for s in sorted(got)), strict=True)]
             for to, value in zip(count[1:] if kind else [mark], values, strict=bool(values)):
@@ -452,36 +487,50 @@ def matcher(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def run_scores(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
+def run_scores(n: int, v: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs (words, counts of the tokens, and the matches of some of their suffixes) to the sum of their tokens' scores."""
 
-    def one(chain: bool, unigram: list[int], matches: list[dict]) -> float:
-        tokens = len(unigram)
-        longest: dict[int, int] = {}
-        for m in matches:
-            longest[m["s"]] = max(longest.get(m["s"], 0), m["len"][0])
-        counts: dict[int, np.ndarray] = {}
-        for m in matches:  # parts add up
-            c, above = counts.setdefault(m["s"], np.zeros(longest[m["s"]] + 2, np.int64)), 0
-            for length, k in zip(m["len"], m["n"], strict=True):
-                c[: length + 1] += k - above
-                above = k
-        at = np.arange(DEPTH, DEPTH + tokens)
-        context, c, both = np.zeros(tokens, np.int64), np.zeros(tokens, np.int64), np.zeros(tokens, np.int64)
-        done = DEPTH - 1
-        for s in sorted(counts):
-            end = s + longest[s]
-            mine = (at > done) & (at <= end)
-            context[mine], c[mine], both[mine] = at[mine] - s, counts[s][at[mine] - s], counts[s][at[mine] - s + 1]
-            done = max(done, end)
-        if chain:  # the document itself goes on
-            c, both = np.maximum(c, 1), np.maximum(both, 1)
-        return float(log_p(context, c, both, (np.array(unigram) + 0.1) / (n + 0.1 * (v + 1))).sum()) if tokens else 0.0
+    def sums(chain: pa.Array, more: pa.Array, matches: pa.Array) -> np.ndarray:
+        size, met = (x.value_lengths().to_numpy().astype(np.int64) for x in (more, matches))
+        first, runs, unigram = np.cumsum(size) - size, np.arange(len(size)), more.flatten().to_numpy()
+        s, lens, counts = matches.flatten().flatten()
+        s, entries = s.to_numpy().astype(np.int64), lens.value_lengths().to_numpy().astype(np.int64)
+        length, count = lens.flatten().to_numpy(), counts.flatten().to_numpy()
+        above = np.concatenate([[0], count[:-1]])[: len(count)]
+        above[(np.cumsum(entries) - entries)] = 0
+        big = int(s.max(initial=0)) + int(length.max(initial=0)) + 2
+        # parts of a suffix add up
+        keys, of = np.unique(np.repeat(runs, met) * big + s, return_inverse=True)
+        run, s = np.divmod(keys, big)
+        group = np.arange(len(keys))
+        at = np.repeat(of, entries) * big + length
+        order = np.argsort(at)
+        at, total = at[order], np.concatenate([[0], np.cumsum((count - above)[order])])
+        ends = np.searchsorted(at, (group + 1) * big)
+        end = s + at[ends - 1] - group * big
+        done = np.maximum.accumulate(run * big + end) - run * big  # tokens so far that a suffix of the run has scored
+        before = np.where(np.concatenate([[True], run[1:] != run[:-1]])[: len(run)], 0, np.concatenate([[0], done[:-1]])[: len(run)])
+        low = np.maximum(before + 1, DEPTH)
+        tokens = np.maximum(np.minimum(end, size[run] + DEPTH - 1) - low + 1, 0)
+        g = np.repeat(group, tokens)
+        place = np.arange(len(g)) - (np.cumsum(tokens) - tokens - low)[g]
+        to, words = first[run[g]] + place - DEPTH, place - s[g]
+        context, c, both = np.zeros(len(unigram), np.int64), np.zeros(len(unigram), np.int64), np.zeros(len(unigram), np.int64)
+        context[to] = words
+        c[to], both[to] = (total[ends[g]] - total[np.searchsorted(at, g * big + words + more)] for more in (0, 1))
+        own = np.repeat(chain.to_numpy(zero_copy_only=False).astype(np.int64), size)  # the document itself goes on
+        p = log_p(context, np.maximum(c, own), np.maximum(both, own), (unigram + 0.1) / (n + 0.1 * (v + 1)))
+        return np.bincount(np.repeat(runs, size), weights=p, minlength=len(size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(1, 4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(*x) for x in zip(*columns, strict=True)], pa.float64())], ["run", "deep"])
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy().astype(np.int64))
+            deep, i = [np.zeros(0)], 0
+            while i < len(ends):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOKENS, "right")))
+                deep.append(sums(*(batch.column(k).slice(i, j - i) for k in (1, 2, 3))))
+                i = j
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(deep))], ["run", "deep"])
 
     return run
 
@@ -525,7 +574,7 @@ def match_runs(runs: DataFrame, segments: DataFrame, width: int, hot: int) -> li
         todo = written(todo.where("high - low > 1 and low_end < high_end"), "intervals")
         if todo.limit(1).count() == 0:
             return done
-        probes = F.array_distinct(F.array(*(F.col("low") + F.ceil((F.col("high") - F.col("low")) * (q / 4)).cast("int") for q in (1, 2, 3))))
+        probes = F.array_distinct(F.array(*(F.col("low") + F.ceil((F.col("high") - F.col("low")) * (q / WAYS)).cast("int") for q in range(1, WAYS))))
         asked = todo.select("run", "low", "high", "words", F.explode(probes).alias("s")).where("s < high")
         done.append(match(asked.select("run", "low", "s", F.expr(f"substring(words, (s - low) * {width} + 1, length(words))").alias("words"))))
         met = reach(done[-1]).groupBy("run", "low").agg(F.collect_list(F.struct("s", "end")).alias("met"))

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,60 @@ def test_spent_tables_are_gone_when_runs_are_matched(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"a b c d e f g{i % 3}") for i in range(40)], "doc_id long, text string")
     assert score(df, F.col("doc_id") % 10 == 0).count() == 40
     assert {x.rsplit("-", 1)[0] for x in left} == {"unique", "runs", "documents"}
+
+
+def test_runs_are_scored_together(monkeypatch):
+    """Runs of a batch, some of whose suffixes are in parts, against the definition; no call for each run."""
+    rng = random.Random(3)
+    rows = []
+    for run in range(40):
+        tokens, matches, reach = rng.randrange(12), [], 0
+        for s in sorted({0, *(rng.randrange(1, 6) for _ in range(rng.randrange(3)))}):
+            reach = max(reach, s + rng.randrange(4, 9))
+            for _ in range(rng.randrange(1, 3)):
+                lens = sorted({reach - s, *(rng.randrange(4, reach - s + 1) for _ in range(2))}, reverse=True)
+                matches.append({"s": s, "len": lens, "n": sorted(rng.sample(range(1, 99), len(lens)))})
+        rng.shuffle(matches)
+        rows.append((run, run % 2 == 0, [rng.randrange(50) for _ in range(tokens)], matches))
+
+    def upto(matches, s, words):
+        return sum(max((n for k, n in zip(m["len"], m["n"], strict=True) if k >= words), default=0) for m in matches if m["s"] == s)
+
+    want = []
+    for _, chain, more, matches in rows:
+        total = 0.0
+        for i, u in enumerate(more):
+            at, base = suffixlm.DEPTH + i, (u + 0.1) / (1000 + 0.1 * 101)
+            s = min((m["s"] for m in matches if m["s"] + m["len"][0] >= at), default=None)
+            length, c, both = (0, 0, 0) if s is None else (at - s, upto(matches, s, at - s), upto(matches, s, at - s + 1))
+            a = max(STRENGTH / 2 ** max(length - 1, 0), LEAST)
+            total += math.log10((max(both, chain) + a * base) / (max(c, chain) + a) if length else base)
+        want.append(total)
+    called, log_p = [], suffixlm.log_p
+    monkeypatch.setattr(suffixlm, "log_p", lambda *x: called.append(1) or log_p(*x))
+    match = pa.struct([("s", pa.int32()), ("len", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(match)), strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, ["run", "chain", "more", "matches"])
+    (got,) = suffixlm.run_scores(1000, 100)(iter([batch]))
+    assert got.column(1).to_pylist() == pytest.approx(want) and len(called) == 1
+    monkeypatch.setattr(suffixlm, "TOKENS", 20)
+    (got,) = suffixlm.run_scores(1000, 100)(iter([batch, batch[:0]][:1]))
+    assert got.column(1).to_pylist() == pytest.approx(want)
+    assert [len(x) for x in suffixlm.run_scores(1000, 100)(iter([batch[:0]]))] == [0]
+
+
+def test_distinct_values():
+    rng = np.random.default_rng(1)
+    for top in (1, 50, 1 << 40, (1 << 62)):
+        keys = rng.integers(0, top, 300)
+        for a, b in zip(suffixlm.distinct(keys), np.unique(keys, return_inverse=True), strict=True):
+            assert a.tolist() == b.tolist()
+    assert [len(x) for x in suffixlm.distinct(keys[:0])] == [0, 0]
+
+
+def test_words_go_to_all_shards():
+    words = pa.array([b"", *(b"w%d" % i for i in range(2000)), b"ab", b"ba"], pa.large_binary())
+    shard = suffixlm.shard_of_words(words, 8)
+    assert np.bincount(shard, minlength=8).min() > 150
+    assert suffixlm.shard_of_words(words[700:900], 8).tolist() == shard[700:900].tolist()
+    assert suffixlm.shard_of_words(words[-2:], 1 << 40)[0] != suffixlm.shard_of_words(words[-2:], 1 << 40)[1]

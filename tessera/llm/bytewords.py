@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 
 BLOCK_BYTES = 4 << 20
+FACTOR = 0xD6E8FEB86659FD93
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -95,8 +96,11 @@ def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     m = len(words) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(m, np.uint64)
-    for j in range(k):
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h += words[j : j + m]
+    h, size = words, 1
+    for bit in bin(k)[3:]:  # of `size` words, then of twice as many, then of one more
+        h = h[:-size] * np.uint64(pow(FACTOR, size, 1 << 64)) + h[size:]
+        size *= 2
+        if bit == "1":
+            h = h[:-1] * np.uint64(FACTOR) + words[size:]
+            size += 1
     return mix64(h)

@@ -8,8 +8,9 @@ equal windows choose equal anchors at equal offsets), and consecutive windows on
 2. Repeated anchors on which all paths in the corpus are equal do not branch: the path is one compacted edge.
 3. Repeated anchors with unequal paths branch: each of their windows is an edge of its own.
 
-Compacted edges then meet in Spark: the least coordinate (doc_id, start) of each is its source, a join gives it to all
-other places, and each document is rewritten once without the words of those windows.
+One scan of the texts finds the anchors, with the least and the greatest path on each; a second one gives the compacted
+edges.  These meet in Spark once: the least coordinate (doc_id, start) of each is its source, and each document is rewritten
+once without the words of the windows at other places.
 
 The sets of repeated and of branching anchors reach the tasks as bit maps of at most 32 MB.  A false hit, or a map that
 is full, costs work alone: edges are equal only by their own hashes, two of 64 bits each over two independent hashes of the
@@ -26,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import Block, blocks, mix64, sequence_hashes, word_hashes
@@ -43,28 +44,15 @@ def anchored_windows(b: Block, h: np.ndarray, window: int, anchor: int) -> tuple
     if m <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
-    g = sequence_hashes(h, anchor)
-    best, at = g[:m].copy(), np.zeros(m, np.int64)
-    for j in range(1, window - anchor + 1):
-        less = g[j : j + m] < best
-        np.copyto(best, g[j : j + m], where=less)
-        at[less] = j
+    best = sequence_hashes(h, anchor)
+    at, span, spans = np.arange(len(best)), 1, window - anchor + 1
+    while span < spans:  # the least hash (the first of equal ones) of `span` anchors, then of twice as many
+        step = min(span, spans - span)
+        less = best[step:] < best[:-step]
+        best, at = np.where(less, best[step:], best[:-step]), np.where(less, at[step:], at[:-step])
+        span += step
     starts = np.flatnonzero(b.doc[:m] == b.doc[window - 1 :])
-    return starts, starts + at[starts], best[starts]
-
-
-def anchor_counts(window: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for b in blocks(batch.column(0)):
-                h = word_hashes(b)[:, 0]
-                _, at, _ = anchored_windows(b, h, window, anchor)
-                found.append(sequence_hashes(h, anchor)[np.unique(at)] if len(at) else np.zeros(0, np.uint64))
-            key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int64))], ["anchor", "n"])
-
-    return run
+    return starts, at[starts], best[starts]
 
 
 def in_map(bitmap: tuple[int, bytes], anchors: np.ndarray) -> np.ndarray:
@@ -88,23 +76,23 @@ def paths(b: Block, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     return first, n, best[head], path, check, edges, checks
 
 
-def path_rows(window: int, anchor: int, known: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Repeated anchors with the least and the greatest path on them, for each batch."""
+def path_rows(window: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Anchors with the number (2: more than one) of places, and the least and the greatest path on them, for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for b in blocks(batch.column(0)):
-                _, _, best, path, *_ = paths(b, window, anchor)
-                hit = in_map(known.value, best)
-                keys.append(best[hit])
-                values.append(path[hit])
-            key, of = np.unique(np.concatenate(keys), return_inverse=True)
-            value = np.concatenate(values).view(np.int64)
-            low, high = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
-            np.minimum.at(low, of, value)
-            np.maximum.at(high, of, value)
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(low), pa.array(high)], ["anchor", "low", "high"])
+                _, _, best, path, *_ = paths(b, window, anchor)  # an anchor's place has one path
+                keys.append(best)
+                values.append(path)
+            key, value = np.concatenate(keys), np.concatenate(values).view(np.int64)
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+            n = np.minimum(np.diff(np.append(first, len(key))), 2)
+            low, high = (f.reduceat(value, first) if len(key) else value for f in (np.minimum, np.maximum))
+            yield pa.record_batch([pa.array(key[first].view(np.int64)), pa.array(n), pa.array(low), pa.array(high)], ["anchor", "n", "low", "high"])
 
     return run
 
@@ -189,15 +177,15 @@ def repeated_edges(docs: DataFrame, window: int = 20, anchor: int = 10) -> DataF
     hash of the text, which tells rows of one doc_id apart."""
     context = docs.sparkSession.sparkContext
     keyed = docs.select("text", "doc_id", F.hash("text").alias("tag"))
-    counts = keyed.select("text").mapInArrow(anchor_counts(window, anchor), "anchor long, n long")
-    repeated = bitmap_of(written(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors"))
-    on = keyed.select("text").mapInArrow(path_rows(window, anchor, context.broadcast(repeated)), "anchor long, low long, high long")
-    branching = bitmap_of(written(on.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor"), "branching"))
+    on = keyed.select("text").mapInArrow(path_rows(window, anchor), "anchor long, n long, low long, high long")
+    several = on.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
+    anchors = written(several.select("anchor", (F.col("low") < F.col("high")).alias("branches")), "anchors")
+    repeated, branching = bitmap_of(anchors.select("anchor")), bitmap_of(anchors.where("branches").select("anchor"))
     kind = dict(docs.dtypes)["doc_id"]
     edges = keyed.mapInArrow(edge_rows(window, anchor, context.broadcast((repeated, branching))), f"edge long, check long, doc_id {kind}, tag int, start int, n byte")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    source = edges.groupBy("edge", "check").agg(F.min(place).alias("source"), F.count("*").alias("times")).where("times > 1").select(F.col("edge").alias("of"), F.col("check").alias("of_check"), "source")
-    return edges.join(source, (F.col("edge") == F.col("of")) & (F.col("check") == F.col("of_check"))).where(F.col("source") < place).select("doc_id", "tag", "start", "n")
+    # equal places have one rank: those after the first are not its source
+    rank = F.rank().over(Window.partitionBy("edge", "check").orderBy(F.col("doc_id").isNull(), "doc_id", "start"))
+    return edges.withColumn("rank", rank).where("rank > 1").select("doc_id", "tag", "start", "n")
 
 
 @scratched

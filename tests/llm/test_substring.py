@@ -2,6 +2,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql.classic.dataframe import DataFrame
+
+from tessera.llm import substring
+from tessera.llm.bytewords import FACTOR, blocks, mix64, sequence_hashes, word_hashes
 from tessera.llm.substring import remove_repeats
 
 
@@ -65,3 +72,55 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(w)), (2, " ".join(["new", *w[10_000:], *w[:10_000]]))]
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 30_000, 0), (2, 30_001, 30_000)]
+
+
+def test_edges_are_made_and_moved_once(spark):
+    """One scan of the texts for the anchors, one for the edges, which one exchange brings together."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 30))) for i in range(20)], "doc_id long, text string")
+    scans, map_in_arrow = [], DataFrame.mapInArrow
+
+    def counted(self, function, *args):
+        scans.append(function.__qualname__.partition(".")[0])
+        return map_in_arrow(self, function, *args)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(DataFrame, "mapInArrow", counted)
+        edges = substring.repeated_edges(df)
+    assert scans == ["path_rows", "edge_rows"]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert edges.count() > 0
+
+
+def test_anchors_and_hashes_against_their_definition():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 3, 40, 9, 200)]
+    (b,) = blocks(pa.array(texts))
+    h = word_hashes(b)[:, 0]
+    words = [int(x) for x in h]
+    for window, anchor in ((20, 10), (6, 3), (5, 5), (7, 1)):
+        g = [sum(x * FACTOR ** (anchor - 1 - j) for j, x in enumerate(words[i : i + anchor])) % (1 << 64) for i in range(len(words) - anchor + 1)]
+        g = mix64(np.array(g, np.uint64)).tolist()
+        assert sequence_hashes(h, anchor).tolist() == g
+        want = []
+        for s in range(len(words) - window + 1):
+            if b.doc[s] == b.doc[s + window - 1]:
+                at = min(range(s, s + window - anchor + 1), key=lambda i: (g[i], i))
+                want.append((s, at, g[at]))
+        assert list(zip(*(x.tolist() for x in substring.anchored_windows(b, h, window, anchor)), strict=True)) == want
+    assert sequence_hashes(h[:3], 4).tolist() == []
+
+
+def test_an_anchor_with_its_least_and_greatest_path():
+    w = [f"w{i}" for i in range(40)]
+    texts = [" ".join(w), " ".join(w), " ".join([*w[:25], "x", "y"])]
+    whole = list(substring.path_rows(20, 10)(iter([pa.record_batch([pa.array(texts)], ["text"]), pa.record_batch([pa.array([], pa.string())], ["text"])])))
+    assert len(whole) == 2 and whole[1].num_rows == 0
+    (b,) = blocks(pa.array(texts))
+    _, _, best, path, *_ = substring.paths(b, 20, 10)
+    want = {}
+    for k, p in zip(best.view(np.int64).tolist(), path.view(np.int64).tolist(), strict=True):
+        n, low, high = want.get(k, (0, p, p))
+        want[k] = (min(n + 1, 2), min(low, p), max(high, p))
+    assert {r["anchor"]: (r["n"], r["low"], r["high"]) for r in whole[0].to_pylist()} == want
+    assert {n for n, *_ in want.values()} == {1, 2}

@@ -12,6 +12,17 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Options of tables on the way.  Without Hadoop's native library, an executor starts a chmod for each file, each .crc file and
+#: each task's folder in file://, and until that is another program the executor's memory counts twice.  Pages have checksums of
+#: their own, verified here in place of the .crc files.
+LEAN = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "parquet.page.write-checksum.enabled": "true",
+    "parquet.page.verify-checksum.enabled": "true",
+}
+
 #: One word: a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[ \x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,17 +84,17 @@ def _path(spark: SparkSession, label: str) -> str:
     return os.path.join(_scratch.folders[-1][0] if _scratch.folders else shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
     path = _path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).options(**options).parquet(path)
 
 
-def keyed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+def keyed(df: DataFrame, label: str, key: str, buckets: int, **options: str) -> DataFrame:
     """The same in buckets by key, so that joins and groups on it move the other side alone.  For operators that are scratched."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", _path(spark, label)).saveAsTable(name)
+    df.write.options(**options).bucketBy(buckets, key).option("path", _path(spark, label)).saveAsTable(name)
     _scratch.folders[-1][1].append(name)
     return spark.table(name)
 

@@ -49,7 +49,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from .bytewords import blocks, mix64
-from .common import keyed, removed, scratched, written
+from .common import LEAN, keyed, removed, scratched, written
 
 STRENGTH, LEAST = 200.0, 0.05
 DEPTH = 4
@@ -535,22 +535,27 @@ def run_scores(n: int, v: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def match_runs(runs: DataFrame, segments: DataFrame, width: int, hot: int) -> list[DataFrame]:
+def table(df: DataFrame, label: str, tasks: int) -> DataFrame:
+    """df written by so many tasks at most, one after the other what each holds: few files, and few processes for them."""
+    return written(df.coalesce(tasks), label, **LEAN)
+
+
+def match_runs(runs: DataFrame, segments: DataFrame, width: int, hot: int, tasks: int) -> list[DataFrame]:
     """run, low, s, len, n: for suffixes s of the runs (run, chain, words), as many as it takes, their matches among the segments
     (of, words, more, times).  A word is `width` bytes."""
     spark = runs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = lambda words, at=0: F.xxhash64(F.substring(words, F.lit(at) * width + 1, F.lit(DEPTH * width)))
     size = F.expr(f"cast(length(words) div {width} as int)")
-    segments = keyed(segments.repartition(buckets, "of"), "segments", "of", buckets)
+    segments = keyed(segments.repartition(buckets, "of"), "segments", "of", buckets, **LEAN)
     starts = segments.select("of", F.explode(F.col("more").cast("array<int>")).alias("start"), "words")
-    active = keyed(starts.select(key(F.col("words"), F.col("start")).alias("key"), "of", "start").repartition(buckets, "key"), "active", "key", buckets)
-    often = written(active.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts")), "often")
+    active = keyed(starts.select(key(F.col("words"), F.col("start")).alias("key"), "of", "start").repartition(buckets, "key"), "active", "key", buckets, **LEAN)
+    often = table(active.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("parts")), "often", tasks)
     text = segments.select("of", F.col("words").alias("text"), F.col("times").alias("n"))
 
     def match(asked: DataFrame) -> DataFrame:
         """asked: run, low, s, words."""
-        asked = written(asked.withColumn("key", key(F.col("words"))).join(often, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "asked")
+        asked = table(asked.withColumn("key", key(F.col("words"))).join(often, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))), "asked", tasks)
         wants = asked.groupBy("key").agg(F.max(F.length("words")).alias("want"), F.max("parts").alias("parts"))
         found = active.join(wants, "key").join(text, "of").select("key", "parts", F.expr(f"substring(text, start * {width} + 1, want)").alias("words"), "n")
         part = F.pmod(F.xxhash64("words"), F.col("parts").cast("long")).cast("int")
@@ -558,7 +563,7 @@ def match_runs(runs: DataFrame, segments: DataFrame, width: int, hot: int) -> li
         suffixes = found.select("key", part.alias("part"), "words", "n").select(group, "part", "words", "n")
         each = asked.select("run", "low", "s", "words", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(group, "part", "run", "low", "s", "words")
         out = "run long, low int, s int, len array<long>, n array<long>"
-        matches = written(suffixes.groupBy("group").cogroup(each.groupBy("group")).applyInArrow(matcher(width), out), "matches")
+        matches = table(suffixes.groupBy("group").cogroup(each.groupBy("group")).applyInArrow(matcher(width), out), "matches", tasks)
         removed(asked)
         return matches
 
@@ -571,7 +576,7 @@ def match_runs(runs: DataFrame, segments: DataFrame, width: int, hot: int) -> li
     # suffixes between low and high whose matches end between low_end and high_end; words: from low to high_end
     todo = runs.where("not chain").join(first, "run").select("run", F.lit(0).alias("low"), "low_end", last.alias("high"), size.alias("high_end"), "words")
     while True:
-        todo = written(todo.where("high - low > 1 and low_end < high_end"), "intervals")
+        todo = table(todo.where("high - low > 1 and low_end < high_end"), "intervals", tasks)
         if todo.limit(1).count() == 0:
             return done
         probes = F.array_distinct(F.array(*(F.col("low") + F.ceil((F.col("high") - F.col("low")) * (q / WAYS)).cast("int") for q in range(1, WAYS))))
@@ -593,30 +598,31 @@ def score(docs: DataFrame, held_out: Column, block_words: int = 1_000_000, shard
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0  # a word has some six bytes
     vocabulary_shards, shards = max(1, -(-total // (24 * shard_words))), max(1, -(-total // (6 * shard_words)))
     buckets = max(many, -(-total // (6 * block_words)))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (36 * block_words)))  # six blocks each
     shape = f"block long, ids array<{kind.simpleString()}>, docs binary, codes binary, of binary, n_train long, sent array<struct<shard:int,blob:binary>>"
     columns = docs.select("text", "doc_id", F.coalesce(held_out, F.lit(False)).alias("held"))
-    rows = keyed(columns.mapInArrow(encoder(block_words, vocabulary_shards), shape), "blocks", "block", buckets)
+    rows = keyed(columns.mapInArrow(encoder(block_words, vocabulary_shards), shape), "blocks", "block", buckets, **LEAN)
     sent = rows.select("block", F.explode("sent").alias("m")).select("block", "m.shard", "m.blob")
-    vocabulary = written(sent.groupBy("shard").applyInArrow(numbered(vocabulary_shards), "block long, shard int, blob binary, known long, top long"), "vocabulary")
+    vocabulary = table(sent.groupBy("shard").applyInArrow(numbered(vocabulary_shards), "block long, shard int, blob binary, known long, top long"), "vocabulary", tasks)
     n = rows.agg(F.sum("n_train")).collect()[0][0] or 0
     v, top = vocabulary.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.max("top"), F.lit(0))).collect()[0]
     width = width_of(top)
     said = vocabulary.select("block", "shard", F.lit(2).alias("kind"), "blob")
     rows = rows.select("block", "ids", "docs", "codes", "of")
     suffixes = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(sender(shards), "shard int, block long, kind int, blob binary")
-    answers = written(suffixes.groupBy("shard").applyInArrow(searcher, "block long, shard int, kind int, blob binary"), "answers")
+    answers = written(suffixes.groupBy("shard").applyInArrow(searcher, "block long, shard int, kind int, blob binary"), "answers", **LEAN)
     said = said.unionByName(answers)
     out = f"kind int, block long, at long, doc long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, chain boolean, same binary, words binary, more array<long>"
-    known = written(rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(resolver(shards, n, v, width, kind), out), "resolved")
+    known = table(rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(resolver(shards, n, v, width, kind), out), "resolved", tasks)
     removed(rows, vocabulary, answers)
     # what several documents have is matched and scored once
     unique = known.where("kind > 0").groupBy("kind", "chain", "same").agg(F.first("words").alias("words"), F.first("more").alias("more"), F.count("*").alias("times"))
-    unique = written(unique.withColumn("of", F.monotonically_increasing_id()), "unique")
+    unique = table(unique.coalesce(tasks).withColumn("of", F.monotonically_increasing_id()), "unique", tasks)
     once, segments = unique.where("kind = 1").withColumnRenamed("of", "run"), unique.where("kind = 2").select("of", "words", "more", "times")
-    runs = written(known.where("kind = 1").select("block", "doc", "chain", "same").join(once.select("chain", "same", "run"), ["chain", "same"]).select("block", "doc", "run"), "runs")
-    whole = written(known.where("kind = 0").select("block", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), "documents")
+    runs = table(known.where("kind = 1").select("block", "doc", "chain", "same").join(once.select("chain", "same", "run"), ["chain", "same"]).select("block", "doc", "run"), "runs", tasks)
+    whole = table(known.where("kind = 0").select("block", "doc", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), "documents", tasks)
     removed(known)
-    done = match_runs(once, segments, width, hot)
+    done = match_runs(once, segments, width, hot, tasks)
     matches = reduce(DataFrame.unionByName, done).where(F.size("len") > 0).groupBy("run").agg(F.collect_list(F.struct("s", "len", "n")).alias("matches"))
     deep = once.select("run", "chain", "more").join(matches, "run").mapInArrow(run_scores(n, v), "run long, deep double")
     deep = runs.join(deep, "run").groupBy("block", "doc").agg(F.sum("deep").alias("deep"))

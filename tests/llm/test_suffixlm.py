@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import suffixlm
-from tessera.llm.common import shared_dir
+from tessera.llm.common import LEAN, shared_dir, written
 from tessera.llm.language import held_out
 from tessera.llm.queries import op8_lm_scoring
 from tessera.llm.suffixlm import LEAST, STRENGTH, score
@@ -139,6 +139,37 @@ def test_spent_tables_are_gone_when_runs_are_matched(spark, monkeypatch):
     assert {x.rsplit("-", 1)[0] for x in left} == {"unique", "runs", "documents"}
 
 
+def test_tables_on_the_way_are_few_files(spark, monkeypatch):
+    """Data files alone, and no more in a table than tasks: an executor starts processes for each file."""
+    left, match_runs = {}, suffixlm.match_runs
+    root = shared_dir(spark).removeprefix("file://")
+
+    def seen(*args):
+        left.update({x.path: os.listdir(x.path) for d in os.scandir(root) if d.name.startswith("score-") for x in os.scandir(d) if x.is_dir()})
+        return match_runs(*args)
+
+    monkeypatch.setattr(suffixlm, "match_runs", seen)
+    df = spark.createDataFrame([(i, f"a b c d e f g{i % 3}") for i in range(400)], "doc_id long, text string").repartition(16)
+    assert score(df, F.col("doc_id") % 10 == 0, block_words=200, shard_words=50).count() == 400
+    assert len(left) == 3
+    for files in left.values():
+        assert 0 < len(files) <= 4 and all(f.endswith(".parquet") and not f.startswith(".") for f in files), files
+
+
+def test_a_flipped_bit_on_the_way_is_an_error(spark):
+    df = written(spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).coalesce(1), "flipped", **LEAN)
+    assert df.where("length(h) = 64").count() == 20_000
+    path = df.inputFiles()[0].removeprefix("file:")
+    path = "/" + path.lstrip("/")
+    with open(path, "r+b") as f:
+        f.seek(os.path.getsize(path) // 2)
+        byte = f.read(1)[0]
+        f.seek(-1, os.SEEK_CUR)
+        f.write(bytes([byte ^ 1]))
+    with pytest.raises(Exception, match="CRC checksum verification failed"):
+        df.agg(F.sum(F.hash("id", "h"))).collect()
+
+
 def test_runs_are_scored_together(monkeypatch):
     """Runs of a batch, some of whose suffixes are in parts, against the definition; no call for each run."""
     rng = random.Random(3)

@@ -1,9 +1,12 @@
+import math
 import random
 
 import pytest
 
 from tessera import queries as Q
+from tessera.functions import grid as G
 from tessera.functions import hdc, scan
+from tessera.operators import lookup as lk
 
 SETS = {i: sorted(random.Random(i).sample(range(200), i % 30)) for i in range(120)}
 
@@ -30,5 +33,27 @@ def test_best_of_each_query_in_blocks(spark, monkeypatch, block, hits, name):
 
 def test_shared_places_do_not_move(spark):
     d = "/root/testdata/sf0.001"
-    for name in ("item_memory_top_k", "hdc_analogy"):
+    for name in ("item_memory_top_k", "hdc_analogy", "smoothed_similarity"):
         assert "Generate" not in plan(Q.QUERIES[name](spark, d)), name
+
+
+def test_smoothed_where_pairs_meet(spark, monkeypatch):
+    monkeypatch.setattr(scan, "HITS", 500)
+    sets = {1: [0, 5, 16 * 15], 2: [1, 250], 3: [136], 4: list(range(256)), 5: []}
+    rows = spark.createDataFrame(list(sets.items()), "id long, positions array<int>")
+    pairs = [(a, b) for a in (*sets, 9) for b in sets if a != b]
+    got = {(r["a"], r["b"]): (r["similarity"], r["met"]) for r in lk.smoothed_similarity(spark.createDataFrame(pairs, "a long, b long"), rows, 16).collect()}
+
+    def dense(p):
+        v = [0.0] * 256
+        for x in p:
+            for r, c, w in G.kernel(7, 1.5):
+                v[(x // 16 + r) % 16 * 16 + (x % 16 + c) % 16] += w
+        return v
+
+    dot = lambda x, y: sum(i * j for i, j in zip(x, y, strict=True))
+    for a, b in pairs:
+        x, y = dense(sets.get(a, [])), dense(sets[b])
+        p = dot(x, y)
+        assert got[a, b] == (pytest.approx(p / math.sqrt(dot(x, x) * dot(y, y)) if p else 0.0, abs=1e-6), p > 0)
+    assert len(got) == len(pairs)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessera import queries as Q
@@ -15,10 +16,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("block,hits,name", [(16_384, 1_000_000, int), (16_384, 40, str), (3, 200, int)])
-def test_best_of_each_query_in_blocks(spark, monkeypatch, block, hits, name):
+@pytest.mark.parametrize("block,name", [(16_384, int), (16_384, str), (3, int)])
+def test_best_of_each_query_in_blocks(spark, monkeypatch, block, name):
     monkeypatch.setattr(scan, "BLOCK", block)
-    monkeypatch.setattr(scan, "HITS", hits)
     kind = "long" if name is int else "string"
     memory = spark.createDataFrame([(name(i), p) for i, p in SETS.items()] + [(name(500), [3, 900]), (name(501), None)], f"name {kind}, positions array<int>")
     queries = spark.createDataFrame([(i, p) for i, p in SETS.items() if i % 10 < 2] + [(700, [5, 199])], "query long, positions array<int>")
@@ -31,14 +31,27 @@ def test_best_of_each_query_in_blocks(spark, monkeypatch, block, hits, name):
     assert "Generate" not in plan(found)
 
 
+def test_pieces_of_a_batch(monkeypatch):
+    rows = pa.RecordBatch.from_arrays([pa.array(list(SETS)), pa.array(list(SETS.values()), pa.list_(pa.int32()))], ["name", "positions"])
+    both = pa.RecordBatch.from_arrays([rows.column(0), rows.column(0), rows.column(1), rows.column(1).take(pa.array([*range(1, 120), 0]))], ["a", "b", "pa", "pb"])
+    asked = [rows.column(x).slice(0, 40) for x in (0, 1)]
+
+    def each():
+        for run, batch in ((scan.overlaps(*asked, 3), rows), (scan.jaccards(*asked, 0.1), rows), (scan.smoothed(16, G.kernel(7, 1.5)), both)):
+            yield sorted((x["query" if "query" in x else "a"], x["name" if "name" in x else "b"], round(x["similarity"], 9)) for b in run(iter([batch])) for x in b.to_pylist())
+
+    whole = list(each())
+    monkeypatch.setattr(scan, "HITS", 60)
+    assert list(each()) == whole and all(map(len, whole))
+
+
 def test_shared_places_do_not_move(spark):
     d = "/root/testdata/sf0.001"
     for name in ("item_memory_top_k", "hdc_analogy", "smoothed_similarity"):
         assert "Generate" not in plan(Q.QUERIES[name](spark, d)), name
 
 
-def test_smoothed_where_pairs_meet(spark, monkeypatch):
-    monkeypatch.setattr(scan, "HITS", 500)
+def test_smoothed_where_pairs_meet(spark):
     sets = {1: [0, 5, 16 * 15], 2: [1, 250], 3: [136], 4: list(range(256)), 5: []}
     rows = spark.createDataFrame(list(sets.items()), "id long, positions array<int>")
     pairs = [(a, b) for a in (*sets, 9) for b in sets if a != b]

@@ -51,5 +51,6 @@ def test_word_counts_of_rows_that_share_an_id(spark, tmp_path):
         for w in (t or "").split():
             n[w] += 1
             df.setdefault(w, set()).update({i} - {None})
+    assert {r["word"]: (r["n"], r["df"]) for r in Q.word_counts(spark, str(tmp_path)).collect()} == {w: (n[w], len(df[w])) for w in n}
     pq.write_table(pa.table({"item_id": [1], "text": ["red fish"]}), tmp_path / "benchmark.parquet")
     assert {r["word"]: r["df"] for r in Q.frequencies(spark, str(tmp_path)).collect()} == {w: len(x) for w, x in df.items()}

@@ -69,3 +69,9 @@ def test_fingerprints_of_all_documents(spark, tmp_path):
     docs, asked = ({k: set(brute(t, "weighted")) for k, t in x.items()} for x in (texts, items))
     close = {(i, k): round(len(a & b) / len(a | b), 9) for i, a in asked.items() for k, b in docs.items() if a and b and len(a & b) / len(a | b) >= 0.1}
     assert {(r["item_id"], r["doc_id"]): r["similarity"] for r in Q.doc_similarity_pairs(spark, d).collect()} == close and close
+
+
+def test_equal_ngrams_are_counted_before_their_places(spark):
+    plan = Q.hdc_ngram_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    places = next(i for i, line in enumerate(plan) if "Generate explode" in line and "md5" in line)
+    assert any("Aggregate" in line and "_items" in line for line in plan[places:])  # below the places
